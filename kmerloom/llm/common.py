@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 import zlib
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,19 @@ def words(text: str | None) -> list[bytes]:
 def row_ids(df: DataFrame, name: str = "uid") -> DataFrame:
     """A number for each row; rows may repeat, so doc_id is no key. Store the result before use."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def held(docs: DataFrame, name: str) -> DataFrame:
+    """uid and row (all columns of docs, whatever their names), stored, for operators that give back rows of docs."""
+    return stored(row_ids(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))), name)
+
+
+class Shared:
+    """A broadcast whose value is pickled with its classes, so executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return pickle.loads(self.held.value)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, row_ids, stored, text_of
+from .common import SPACES, held, row_ids, stored, text_of
 
 #: Distinct digests that one shard is meant to hold, and rows looked up in one task's group.
 SHARD_DIGESTS = 4096
@@ -131,10 +131,11 @@ def _probe(rows: pa.Table, index: pa.Table) -> pa.Table:
     return pa.table(out | {k: pa.array(x[k], pa.int64()).take(take) for k in ("keep_id", "keep_uid", "group_size")}).cast(_FOUND)
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, uid: Column | None = None) -> DataFrame:
     """uid, doc_id, digest (sha256 of the text without white space), n_chars (of the text as it is); stored."""
     text = text_of("text")
-    return stored(row_ids(docs.select("doc_id", F.unhex(F.sha2(normalised(text), 256)).alias("digest"), F.char_length(text).cast("long").alias("n_chars"))), "digests")
+    out = docs.select(*([] if uid is None else [uid]), F.col("doc_id").cast("long"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"), F.char_length(text).cast("long").alias("n_chars"))
+    return stored(row_ids(out) if uid is None else out, "digests")
 
 
 def winners(rows: DataFrame) -> DataFrame:
@@ -171,7 +172,10 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     its history. With a history, a member's winner is the historical one
     and its group_size counts the historical rows only.
     """
-    rows = digests(docs)
+    return _deduplicated(digests(docs), history)
+
+
+def _deduplicated(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
     n_shards = max(1, math.ceil(rows.count() / SHARD_DIGESTS))
     index = stored(build_index(winners(rows) if history is None else history, n_shards), "mphf")
     found = stored(lookup(rows, index, n_shards), "found")
@@ -180,3 +184,10 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     alone = strangers.join(groups, "digest").select(found.columns)
     own = F.lit(history is None) | F.col("new")
     return found.where("group_size IS NOT NULL").withColumn("new", F.lit(False)).unionByName(alone.withColumn("new", F.lit(True))).withColumn("kept", own & (F.col("uid") == F.col("keep_uid"))).drop("new")
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with their columns, that stay."""
+    rows = held(docs, "exact-rows")
+    found = _deduplicated(digests(rows.select("uid", "row.doc_id", "row.text"), F.col("uid")))
+    return rows.join(found.where("kept").select("uid"), "uid", "left_semi").select("row.*")

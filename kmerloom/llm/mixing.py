@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_ids, stored, text_of
+from .common import held, row_ids, stored, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
@@ -101,11 +101,12 @@ def schedule(spark, shares: list[float], slots: int, chunk: int = CHUNK) -> Data
     return before.groupBy("chunk").agg(F.collect_list(F.struct("src", "rank")).alias("before")).mapInArrow(_ranked(ends, slots, chunk), "src long, block long, slot long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, source, size, h (place in the source's hash order), stored; any further columns stay."""
+def sized(docs: DataFrame, uid: bool = False) -> DataFrame:
+    """uid, doc_id, source, size, h (place in the source's hash order), stored; uid: docs has that column and it numbers the rows."""
     text = text_of("text")
     size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return stored(row_ids(docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(_SHUFFLE_SEED), "doc_id", F.xxhash64(text)).alias("h"))), "sized")
+    out = docs.select(*["uid"] * uid, F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.xxhash64(F.lit(_SHUFFLE_SEED), "doc_id", F.xxhash64(text)).alias("h"))
+    return stored(out if uid else row_ids(out), "sized")
 
 
 def mixed(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, most: int = MOST_REPEATS) -> tuple[DataFrame, DataFrame]:
@@ -140,3 +141,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     taken = manifest.groupBy("uid").agg(F.sum("length").alias("taken"))
     known = rows.join(sources, rows.source.eqNullSafe(sources.source)).select("uid", "doc_id", rows.source, "size", "source_size", "target")
     return known.join(taken, "uid", "left").select(*known.columns, F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
+    """The rows of docs, with their columns, each as often as the mix takes its words, to the nearest whole number.
+
+    A document is taken in whole passes, but for the one at the end of its source's stream.
+    """
+    rows = held(docs, "mix-rows")
+    sizes = sized(rows.select("uid", "row.doc_id", "row.source", "row.text"), uid=True)
+    _, manifest = mixed(sizes, weights, block)
+    passes = manifest.groupBy("uid").agg(F.sum("length").alias("taken")).join(sizes.select("uid", "size"), "uid").select("uid", F.round(F.col("taken") / F.col("size")).cast("int").alias("passes"))
+    return rows.join(passes, "uid").select("row", F.explode(F.array_repeat(F.lit(0), F.col("passes")))).select("row.*")

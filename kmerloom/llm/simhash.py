@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, row_ids, stored, words
+from .common import dropped, held, row_ids, stored, words
 
 SHINGLE = 4
 RADIUS = 4
@@ -59,12 +59,14 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.array([fingerprint(x) for x in b["text"].to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], [*b.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, fp (the 64 bits as a signed long), stored."""
-    return stored(row_ids(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")), "simhash")
+def fingerprints(docs: DataFrame, uid: bool = False) -> DataFrame:
+    """uid, doc_id, fp (the 64 bits as a signed long), stored; uid: docs has that column and it numbers the rows."""
+    source = docs.select(*["uid"] * uid, F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    out = source.mapInArrow(_fingerprints, "uid long, " * uid + "doc_id long, fp long")
+    return stored(out if uid else row_ids(out), "simhash")
 
 
 def near(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -189,7 +191,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """uid, doc_id, fp, component_id and kept (true for the component's first row by doc_id, nulls last)."""
-    rows = fingerprints(docs)
+    return _classified(fingerprints(docs), radius)
+
+
+def _classified(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid")).alias("first")
     distinct = stored(rows.groupBy("fp").agg(first), "distinct")
     roots = components(links(distinct, radius))
@@ -197,3 +202,10 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     classes = stored(rooted.join(best, "root").select("fp", F.col("best.doc_id").alias("component_id"), F.col("best.uid").alias("keep_uid")), "classes")
     return rows.join(classes, "fp").select("uid", "doc_id", "fp", "component_id", (F.col("uid") == F.col("keep_uid")).alias("kept"))
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with their columns, that stay: one of each component."""
+    rows = held(docs, "near-rows")
+    found = _classified(fingerprints(rows.select("uid", "row.doc_id", "row.text"), uid=True))
+    return rows.join(found.where("kept").select("uid"), "uid", "left_semi").select("row.*")
