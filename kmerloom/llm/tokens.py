@@ -8,26 +8,58 @@ encoded once, and the ids are joined as bytes (little-endian unsigned
 from __future__ import annotations
 
 import re
+import struct
+import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces kept in memory; then the cache starts anew.
-CACHE = 200_000
+#: Pieces kept in memory in each of two generations: when the younger is full it becomes the older.
+CACHE = 250_000
 #: White space beside white space or at an end: the cut at single spaces would not be exact.
 _IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
 
 
+#: Marks that are pre-tokens of their own after letters.
+_MARKS = ".,;:!?"
+
+
+#: Letters up to here are letters to every library, and a run of them is one pre-token.
+_LATIN = "\u024f"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-ins for bytes of byte-level tokenizers: printable Latin-1 stands for itself, the rest for 256 and up."""
+    itself = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return {b: chr(b if b in itself else next(rest)) for b in range(256)}
+
+
 class _Cache(dict):
-    def __init__(self, encode, prefix: str):
-        self.encode, self.prefix = encode, prefix
+    """Ids of pieces. A mark after letters only is encoded apart, so words are met again with and without it."""
+
+    def __init__(self, encode, word, prefix: str, folds: bool):
+        self.encode, self.word, self.prefix, self.folds, self.older = encode, word, prefix, folds, {}
+        self.marks = {m: encode(m) for m in _MARKS}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        out = self[piece] = self.encode(self.prefix + piece) if piece or self.prefix else b""
+        if (out := self.older.get(piece)) is None:
+            out = self._ids(piece)
+        self[piece] = out
         return out
 
+    def _ids(self, piece: str) -> bytes:
+        if self.folds and piece.isascii() and not piece.islower() and (low := piece.lower()) != piece:
+            return self[low]
+        if piece.isalpha() and max(piece) <= _LATIN and (not self.folds or piece.lower() == piece) and unicodedata.is_normalized("NFC", piece):
+            return self.word(self.prefix + piece)
+        if piece[-1:] in self.marks and piece[:-1].isalpha() and piece[:-1].lower().isalpha():
+            return self[piece[:-1]] + self.marks[piece[-1]]
+        return self.encode(self.prefix + piece) if piece or self.prefix else b""
+
 
 class Encoder:
     """ids(text) as bytes for one tokenizer file; ``path`` is a parameter and never copied."""
@@ -36,11 +68,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Whether the pre-tokens drop white space; else a space belongs to the word after it.
-        self.drops = not self.encode_whole("a b c").tobytes() == self.encode_whole("a").tobytes() + self.encode_whole(" b").tobytes() + self.encode_whole(" c").tobytes() or self.encode_whole(" ").size == 0
-        self.spaced = _Cache(self._bytes, " ")
-        self.plain = _Cache(self._bytes, "")
+        self.drops = self.encode_whole(" ").size == 0
+        folds = self._bytes("Word") == self._bytes("word")
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        # a pre-token of letters goes straight to the tokenizer's model, where that gives the same ids
+        samples = [p + w for p in ([""] if self.drops else ["", " "]) for w in ("word", "thtionable", "überé", "ñandú")]
+        word = self._word if all(self._word(x) == self._bytes(x) for x in samples) else self._bytes
+        self.spaced = _Cache(self._bytes, word, " ", folds)
+        self.plain = _Cache(self._bytes, word, "", folds)
         self.newline = self._bytes("\n")
 
+    def _word(self, word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode_whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
