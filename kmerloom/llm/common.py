@@ -6,7 +6,11 @@ import pickle
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,3 +98,18 @@ class Shared:
     @property
     def value(self):
         return pickle.loads(self.held.value)
+
+
+#: Bytes of text that a worker unpacks at once; a longer text comes alone.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in parts of about ``size`` bytes of text, so memory does not follow the batches' row counts."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = np.cumsum(pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // size
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield b.slice(lo, hi - lo)

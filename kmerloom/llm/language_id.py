@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, fold, stored
+from .common import Shared, fold, slices, stored
 
 FOLDS, HELD_OUT = 4, 2
 TABLE = 1 << 17
@@ -54,7 +54,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen.clear()
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "c"])
 
-    for b in batches:
+    for b in slices(batches):
         for text, lang in zip(b["text"].to_pylist(), b["lang"].to_pylist(), strict=True):
             seen.setdefault(lang, Counter()).update(letters(text))
         if sum(map(len, seen.values())) > FLUSH:
@@ -133,40 +133,62 @@ class _Vectors(dict):
         return at
 
 
+class Predictor:
+    """Languages and scores of texts; keeps the vectors of the words that it has met, up to CACHE."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.vectors, self.table, self.filled = _Vectors(self.model), np.zeros((1024, len(self.model.langs))), 0
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if len(self.vectors) > CACHE:
+            self._forget()
+        names, scores = [], []
+        for text in texts:
+            at = np.fromiter(map(self.vectors.__getitem__, letters(text)), np.int64)
+            at = at[at >= 0]
+            if not len(at) or not self.model.langs:
+                names.append(UNDETERMINED)
+                scores.append(0.0)
+                continue
+            self._fill()
+            total = self.table[at].sum(axis=0)
+            best = int(total.argmax())
+            names.append(self.model.langs[best])
+            scores.append(1 / float(np.exp(total - total[best]).sum()))
+        return names, scores
+
+    def _fill(self) -> None:
+        """Put new vectors into the table, whose room is doubled when it is full."""
+        n = len(self.vectors.rows)
+        if n > len(self.table):
+            self.table = np.concatenate((self.table[: self.filled], np.zeros((2 * n - self.filled, self.table.shape[1]))))
+        if n > self.filled:
+            self.table[self.filled : n] = self.vectors.rows[self.filled :]
+            self.filled = n
+
+
 def _predicted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        vectors, table = _Vectors(model), np.zeros((0, len(model.langs)))
-        for b in batches:
-            names, scores = [], []
-            if len(vectors) > CACHE:
-                vectors, table = _Vectors(model), table[:0]
-            for text in b["text"].to_pylist():
-                at = np.fromiter(map(vectors.__getitem__, letters(text)), np.int64)
-                at = at[at >= 0]
-                if not len(at) or not model.langs:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                if len(vectors.rows) > len(table):
-                    table = np.concatenate((table, vectors.rows[len(table) :]))
-                total = np.bincount(at, minlength=len(table)) @ table if len(at) > 4 * len(table) else table[at].sum(axis=0)
-                best = int(total.argmax())
-                names.append(model.langs[best])
-                scores.append(1 / float(np.exp(total - total[best]).sum()))
+        predictor = Predictor(shared.value)
+        for b in slices(batches):
+            names, scores = predictor(b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
-def _with_predictions(shared):
-    """As _predicted, with all columns of the input kept."""
-    inner = _predicted(shared)
+def _accepted(shared):
+    """The rows that get a language, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for out in inner(iter([b])):
-                yield pa.RecordBatch.from_arrays([*b.columns, out["lang_pred"], out["score"]], [*b.schema.names, "lang_pred", "score"])
+        predictor = Predictor(shared.value)
+        for b in slices(batches):
+            names, _ = predictor(b["text"].to_pylist())
+            yield b.filter(pa.array([x != UNDETERMINED for x in names], pa.bool_()))
 
     return run
 
@@ -186,5 +208,4 @@ def language_id(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs, with their columns, that have a language."""
     shared = Shared(docs.sparkSession, fit(docs.where(fold("doc_id", FOLDS) != HELD_OUT)))
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.mapInArrow(_with_predictions(shared), schema).where(F.col("lang_pred") != UNDETERMINED).select(docs.columns)
+    return docs.mapInArrow(_accepted(shared), docs.schema)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 from .tokens import Encoder
 
 WIDTH = 4096
@@ -68,7 +68,7 @@ _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _cut(path: str, width: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder(path), end_id.to_bytes(4, "little")
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 ids = encoder.ids(text) + end

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, fold, words
+from .common import Shared, fold, slices, words
 
 FOLDS, HELD_OUT = 5, 0
 FIT_ROWS = 6000
@@ -130,7 +130,7 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([features(x).tobytes() for x in b["text"].to_pylist()], pa.binary())], ["doc_id", "f"])
 
 
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Network:
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for b in batches:
+        for b in slices(batches):
             x = np.array([features(t) for t in b["text"].to_pylist()], np.float64).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(net.score(x), pa.float64())], ["doc_id", "score"])
 

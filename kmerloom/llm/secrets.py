@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, stored
+from .common import Shared, slices, stored
 
 #: The formats' patterns and least lengths.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -182,7 +182,7 @@ _SPAN_DDL = "array<struct<start:long,end:long,kind:string,value:string>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         found, others = [], []
         for text in b["text"].to_pylist():
             base = base_spans(text or "")

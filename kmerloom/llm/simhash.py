@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, held, row_ids, stored, words
+from .common import dropped, held, row_ids, slices, stored, words
 
 SHINGLE = 4
 RADIUS = 4
@@ -57,7 +57,7 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         fps = np.array([fingerprint(x) for x in b["text"].to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], [*b.schema.names[:-1], "fp"])
 

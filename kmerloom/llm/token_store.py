@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, slices
 from .tokens import Encoder
 
 END_ID = 0
@@ -137,7 +137,7 @@ def _written(path: str, end_id: int, segment_ids: int):
             payload = encode(np.frombuffer(b"".join(held), "<u4"), names, lengths)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([payload], pa.binary())], ["shard", "segment", "before", "n_tokens", "payload"])
 
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 ids = encoder.ids(text) + end
                 held.append(ids)
