@@ -32,7 +32,7 @@ def mask_rle(mask: Column | str) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.concat(F.when(F.startswith(r, F.lit("1")), "x").otherwise("o"), F.char_length(r).cast("string"))), "")
 
 
-def mask_score(mask: Column | str, k: int, match: int = 1, mismatch: int = 1) -> Column:
+def mask_score(mask: Column | str, k: int, match: int = 1, mismatch: int = 2) -> Column:
     """Similarity from a presence mask: runs of ones lose two at their end, missing runs are charged as likely single differences."""
     m = F.col(mask) if isinstance(mask, str) else mask
     eroded = F.translate(F.regexp_replace(F.regexp_replace(m, "11(?=0)", "zz"), "(?<!1)1(?=0)", "z"), "z", "0")

@@ -285,7 +285,7 @@ _BITS = f"{MATCH}, p AS (SELECT DISTINCT query_id, label, pos, matches, m.n_kmer
 _RUNS = "list_transform(regexp_extract_all({c}, '0+|1+'), lambda x: {{'one': x[1] = '1', 'n': CAST(length(x) AS DOUBLE)}})"
 _SCORE = f"""e AS (SELECT *, array_to_string(list_transform(range(1, length(bits) + 1), lambda i: CASE WHEN contains(substr(bits, i, 3), '0') THEN '0' ELSE '1' END), '') AS er FROM s),
 t AS (SELECT *, {_RUNS.format(c="er")} AS runs FROM e), t2 AS (SELECT *, list_transform(range(1, len(runs) + 1), lambda i: {{'one': runs[i].one, 'n': runs[i].n + CASE WHEN i < len(runs) THEN 1 ELSE 0 END}}) AS rr FROM t),
-t3 AS (SELECT *, coalesce(list_sum(list_transform(list_filter(rr, lambda x: x.one), lambda x: x.n)), 0) AS ones, coalesce(list_sum(list_transform(list_filter(rr, lambda x: NOT x.one), lambda x: x.n - 2 * (greatest(x.n - {K + 3} + 1, x.n / {K + 3}) * 0.05 + x.n / {K + 3}))), 0) AS zeros FROM t2)"""
+t3 AS (SELECT *, coalesce(list_sum(list_transform(list_filter(rr, lambda x: x.one), lambda x: x.n)), 0) AS ones, coalesce(list_sum(list_transform(list_filter(rr, lambda x: NOT x.one), lambda x: x.n - 4 * (greatest(x.n - {K + 3} + 1, x.n / {K + 3}) * 0.05 + x.n / {K + 3}))), 0) AS zeros FROM t2)"""
 register("q_signature", f"{_BITS}, {_SCORE} SELECT query_id, label, matches, array_to_string(list_transform(regexp_extract_all(bits, '0+|1+'), lambda x: (CASE WHEN x[1] = '1' THEN 'x' ELSE 'o' END)||length(x)), '') AS mask, CAST(CASE WHEN ones = 0 THEN 0 ELSE trunc(greatest((ones + zeros) * (length(bits) + {K} - 1) / length(bits), 0)) END AS INTEGER) AS score FROM t3")(lambda s, d: q.query(index(s, d), passages(s, d), "signature"))
 register("q_fraction_graph", f"{WITH}, anno AS (SELECT DISTINCT label, kmer FROM hit), ok AS (SELECT query_id FROM qk WHERE kmer IN (SELECT kmer FROM hit) GROUP BY query_id HAVING count(*) >= greatest(1, CAST(ceil(0.95 * CAST(max(n_kmers) AS DOUBLE)) AS BIGINT))) SELECT query_id, label, count(*) AS matches, max(n_kmers) AS n_kmers FROM qk JOIN anno USING (kmer) WHERE query_id IN (SELECT query_id FROM ok) GROUP BY ALL HAVING count(*) >= {LEAST.replace('0.7', '0.1')}")(lambda s, d: q.query(index(s, d), passages(s, d), discovery_fraction=0.1, presence_fraction=0.95))
 register("q_cth", f"{_MATCH_COORDS}, anno AS (SELECT DISTINCT seq_id, kmer FROM hit) SELECT query_id, CAST(seq_id AS VARCHAR) AS header, count(*) AS matches FROM qk JOIN anno USING (kmer) GROUP BY ALL HAVING count(*) >= {LEAST}")(lambda s, d: q.by_headers(index(s, d), passages(s, d), headers(s, d)))
