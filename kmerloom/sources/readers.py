@@ -40,18 +40,14 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Records of four lines; qualities are not kept."""
+    """Records of four lines; qualities are not kept.
 
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for file, text in zip(f["file"], f["text"], strict=True):
-                lines = text.replace("\r", "").split("\n")
-                rows += [(file, n, *(lines[i][1:].split(None, 1) + ["", ""])[:2], lines[i + 1]) for n, i in enumerate(range(0, len(lines) - 3, 4))]
-            yield pd.DataFrame(rows, columns=["file", "seq_no", "name", "comment", "seq"])
-
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    return whole.mapInPandas(split, SEQUENCE)
+    Files are split where a line is a bare ``+``: what comes before it ends with a record's name and sequence, so
+    large files are read in parts. Lines end with a bare newline.
+    """
+    parts = spark.read.option("lineSep", "\n+\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.split("value", "\n").alias("f"))
+    records = parts.where("size(f) >= 2 AND f[size(f) - 2] LIKE '@%'")
+    return _named(records, F.substring(F.element_at("f", -2), 2, 1 << 30), F.element_at("f", -1))
 
 
 def read_string(spark: SparkSession, text: str) -> DataFrame:
@@ -185,5 +181,5 @@ def read_server_list(spark: SparkSession, path: str) -> dict[str, list[tuple[str
 def read_rule_file(spark: SparkSession, path: str) -> list:
     from ..operators.differential import read_rules as parse
 
-    return parse("\n".join(x.value for x in spark.read.option("wholetext", True).text(path).collect()))
+    return parse("\n".join(x.value for x in spark.read.text(path, wholetext=True).collect()))
 
