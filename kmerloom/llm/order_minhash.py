@@ -57,9 +57,11 @@ def _with_sketches(df: DataFrame, text: str, out: str) -> DataFrame:
     start = F.transform("_r", lambda x, i: F.when((i > 0) & (key(x) == key(F.get("_r", i - 1))), 0).otherwise(i))
     rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("_r") + F.lit(1))).cast("int"))
     running = F.aggregate(rounds, start, lambda a, k: F.transform(a, lambda x, i: F.greatest(x, F.get(a, i - F.call_function("shiftleft", F.lit(1), k)))))
-    df = df.withColumn("_n", F.when(F.size("_r") > 0, running).otherwise(F.array().cast("array<int>")))
+    numbers = F.transform(running, lambda first, i: i - first + 1)
+    df = df.withColumn("_n", F.when(F.size("_r") > 0, numbers).otherwise(F.array().cast("array<int>")))
     firsts = F.transform(F.filter("_s", lambda x, i: (i == 0) | (key(x) != key(F.get("_s", i - 1)))), lambda x: packed(F.xxhash64(key(x), F.lit(0)), x.bitwiseAND(low)))
-    repeats = F.transform("_r", lambda x, i: packed(F.xxhash64(key(x), i - F.get("_n", i) + 1), x.bitwiseAND(low)))
+    # zipped, as the optimizer would copy a column that a lambda names once into it, to be computed for every element
+    repeats = F.zip_with("_r", "_n", lambda x, n: packed(F.xxhash64(key(x), n), x.bitwiseAND(low)))
     df = df.withColumn("_c", F.sort_array(F.concat(firsts, repeats)))
     chosen = F.filter("_c", lambda x, i: (i < SELECTED) | (sketch(x) != sketch(F.get("_c", i - SELECTED))))
     df = df.withColumn("_t", F.sort_array(F.transform(chosen, lambda x: F.call_function("shiftleft", sketch(x), F.lit(PLACE_BITS)).bitwiseOR(x.bitwiseAND(low)))))
