@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -84,21 +85,39 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Languages in order; tables[0] of words and tables[n] of n-grams: log frequencies by language."""
+    """Languages in order; tables[0] of words and tables[n] of n-grams: rows of the matrix of log frequencies by language."""
 
     def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]]):
-        self.langs, self.tables = langs, tables
-
-    def vector(self, word: str) -> np.ndarray | None:
-        """None if there is no letter in it."""
+        self.langs = langs
+        self.tables, vectors = [], []
+        for t in tables:
+            self.tables.append({k: len(vectors) + i for i, k in enumerate(t)})
+            vectors += t.values()
+        self.matrix = np.array(vectors, np.float64).reshape(len(vectors), len(langs))
+
+    def rows(self, word: str) -> list[int] | None:
+        """Rows whose mean is the word's vector, none if nothing of it is known; None if there is no letter in it."""
         if (known := self.tables[0].get(word)) is not None:
-            return known
+            return [known]
         if not any(map(str.isalpha, word)):
             return None
         for n in range(LONGEST, 0, -1):
-            if found := [v for g in grams(word, n) if (v := self.tables[n].get(g)) is not None]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+            if found := [x for x in map(self.tables[n].get, grams(word, n)) if x is not None]:
+                return found
+        return []
+
+    def means(self, rows: list[list[int]]) -> np.ndarray:
+        """The mean of each list of rows, zero for an empty one."""
+        n = np.fromiter(map(len, rows), np.int64, len(rows))
+        out = np.zeros((len(rows), len(self.langs)))
+        if full := int((n > 0).sum()):
+            starts = np.concatenate(([0], np.cumsum(n[n > 0])))[:full]
+            out[n > 0] = np.add.reduceat(self.matrix[np.fromiter(chain.from_iterable(rows), np.int64)], starts) / n[n > 0, None]
+        return out
+
+    def vector(self, word: str) -> np.ndarray | None:
+        rows = self.rows(word)
+        return None if rows is None else self.means([rows])[0]
 
 
 def _table(counts: DataFrame, key: str, langs: list[str]) -> dict[str, np.ndarray]:
@@ -119,17 +138,20 @@ def fit(train: DataFrame) -> Model:
     return Model(langs, [_table(words, "word", langs), *(_table(shorter.where(F.col("n") == n), "gram", langs) for n in range(1, LONGEST + 1))])
 
 
-class _Vectors(dict):
-    """Row of each word's vector in ``rows``; -1 without a letter."""
+class _Places(dict):
+    """Number of each word among those met; -1 without a letter. ``fresh``: rows of the words met since they were last taken."""
 
     def __init__(self, model: Model):
-        self.model, self.rows = model, []
+        self.model, self.fresh, self.met = model, [], 0
 
     def __missing__(self, word: str) -> int:
-        v = self.model.vector(word)
-        if v is not None:
-            self.rows.append(v)
-        at = self[word] = -1 if v is None else len(self.rows) - 1
+        rows = self.model.rows(word)
+        if rows is None:
+            self[word] = -1
+            return -1
+        at = self[word] = self.met
+        self.met += 1
+        self.fresh.append(rows)
         return at
 
 
@@ -141,20 +163,20 @@ class Predictor:
         self._forget()
 
     def _forget(self) -> None:
-        self.vectors, self.table, self.filled = _Vectors(self.model), np.zeros((1024, len(self.model.langs))), 0
+        self.places, self.table = _Places(self.model), np.zeros((1024, len(self.model.langs)))
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        if len(self.vectors) > CACHE:
+        if len(self.places) > CACHE:
             self._forget()
+        found = [np.fromiter(map(self.places.__getitem__, letters(text)), np.int64) for text in texts]
+        self._fill()
         names, scores = [], []
-        for text in texts:
-            at = np.fromiter(map(self.vectors.__getitem__, letters(text)), np.int64)
+        for at in found:
             at = at[at >= 0]
             if not len(at) or not self.model.langs:
                 names.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
-            self._fill()
             total = self.table[at].sum(axis=0)
             best = int(total.argmax())
             names.append(self.model.langs[best])
@@ -162,13 +184,14 @@ class Predictor:
         return names, scores
 
     def _fill(self) -> None:
-        """Put new vectors into the table, whose room is doubled when it is full."""
-        n = len(self.vectors.rows)
+        """Vectors of the fresh words go into the table, whose room is doubled when it is full."""
+        p = self.places
+        filled, n = p.met - len(p.fresh), p.met
         if n > len(self.table):
-            self.table = np.concatenate((self.table[: self.filled], np.zeros((2 * n - self.filled, self.table.shape[1]))))
-        if n > self.filled:
-            self.table[self.filled : n] = self.vectors.rows[self.filled :]
-            self.filled = n
+            self.table = np.concatenate((self.table[:filled], np.zeros((2 * n - filled, self.table.shape[1]))))
+        if p.fresh:
+            self.table[filled:n] = self.model.means(p.fresh)
+            p.fresh = []
 
 
 def _predicted(shared):
