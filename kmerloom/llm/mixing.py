@@ -131,7 +131,7 @@ def mixed(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BL
     blocks = epochs.select("*", F.explode(F.sequence(F.expr(f"lo div {b}"), F.expr(f"(hi - 1) div {b}"))).alias("block"))
     cutout = blocks.selectExpr("src", "block", "uid", "epoch", f"greatest(lo, block * {b}) - lo AS start", f"least(hi, (block + 1) * {b}) - greatest(lo, block * {b}) AS length")
     plan = schedule(spark, shares, slots)
-    return sources, cutout.join(plan, ["src", "block"], "left").select(F.coalesce("slot", F.lit(slots) + F.col("block")).alias("slot"), "src", "block", "uid", "epoch", "start", "length")
+    return sources, cutout.join(plan.hint("merge"), ["src", "block"], "left").select(F.coalesce("slot", F.lit(slots) + F.col("block")).alias("slot"), "src", "block", "uid", "epoch", "start", "length")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
