@@ -5,8 +5,9 @@ its character n-grams, with marks for its ends: the longest length of which any
 is known decides, by the mean log frequency of those. A text gets the language
 with the highest sum; its score is that language's share of the likelihood.
 
-Counts cover all labelled training rows. The tables that go to every task hold words
-and n-grams whose share of the counts is above 1 / TABLE, so at most TABLE each.
+Counts cover all labelled training rows, and every word and n-gram counts. Those whose
+share of the counts is above 1 / TABLE, at most TABLE each, go to every task; other words
+of the texts meet their counts in a join, as do the n-grams of unseen words.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is
 everything if no row is labelled; ties go to the first language by
@@ -18,14 +19,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, fold, slices, stored
+from .common import Shared, fold, row_ids, slices, stored
 
 FOLDS, HELD_OUT = 4, 2
 TABLE = 1 << 17
@@ -120,22 +122,43 @@ class Model:
         return None if rows is None else self.means([rows])[0]
 
 
-def _table(counts: DataFrame, key: str, langs: list[str]) -> dict[str, np.ndarray]:
-    """Log frequencies of the keys whose share of all counts is at least 1 / TABLE."""
-    totals = {x.lang: x.c for x in counts.groupBy("lang").agg(F.sum("c").alias("c")).collect()}
-    frequent = counts.groupBy(key).agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by")).where(F.col("c") * TABLE >= sum(totals.values()))
-    size = np.array([totals.get(x, 0) for x in langs]) + SMOOTHING * TABLE
-    return {x[key]: np.log((np.array([x.by.get(y, 0) for y in langs]) + SMOOTHING) / size) for x in frequent.collect()}
+class Fitted(NamedTuple):
+    """The model of what goes to every task, all counts (c: array by language; stored), and log of each table's denominators by language."""
 
+    model: Model
+    words: DataFrame
+    grams: DataFrame
+    sizes: np.ndarray
 
-def fit(train: DataFrame) -> Model:
-    """train: text and lang, neither null, of which the words' counts are stored. Languages are few and go to the driver."""
+
+def _by_language(counts: DataFrame, keys: list[str], langs: list[str], name: str) -> DataFrame:
+    """keys and c, the array of their counts in each language, stored; counts: keys, lang and c."""
+    return stored(counts.groupBy(*keys).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == F.lit(x), F.col("c"))), F.lit(0)) for x in langs]).alias("c")), name)
+
+
+def _table(counts: DataFrame, key: str, langs: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Log frequencies of the keys whose share of all counts is at least 1 / TABLE, and the log denominators of all keys."""
+    *totals, distinct = counts.agg(*[F.coalesce(F.sum(F.col("c")[i]), F.lit(0)) for i in range(langs)], F.count("*")).first()
+    size = np.log(np.array(totals) + SMOOTHING * max(1, distinct))
+    frequent = counts.where(sum((F.col("c")[i] for i in range(langs)), F.lit(0)) * TABLE >= sum(totals)).select(key, "c")
+    return {x[key]: np.log(np.array(x.c) + SMOOTHING) - size for x in frequent.collect()}, size
+
+
+def fit(train: DataFrame) -> Fitted:
+    """train: text and lang, of which the words' counts are stored. Languages are few and go to the driver."""
     source = train.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    words = stored(source.mapInArrow(_counted, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c")), "lang-words")
-    parts = words.mapInArrow(_gram_counts, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    shorter = stored(parts, "lang-grams")
-    langs = sorted(x.lang for x in words.select("lang").distinct().collect())
-    return Model(langs, [_table(words, "word", langs), *(_table(shorter.where(F.col("n") == n), "gram", langs) for n in range(1, LONGEST + 1))])
+    named = sorted(x.lang for x in source.select("lang").distinct().collect())
+    words = _by_language(source.mapInArrow(_counted, "lang string, word string, c long"), ["word"], named, "lang-words") if named else None
+    used = words.agg(*[F.max(F.col("c")[i]) for i in range(len(named))]).first() if named else ()
+    at = [i for i, x in enumerate(used) if x]
+    langs = [named[i] for i in at]
+    if not langs:
+        return Fitted(Model([], [{} for _ in range(LONGEST + 1)]), None, None, np.zeros((LONGEST + 1, 0)))
+    words = words.select("word", F.array(*[F.col("c")[i] for i in at]).alias("c"))
+    each = words.select("word", F.explode(F.arrays_zip(F.array(*map(F.lit, langs)).alias("lang"), "c")).alias("x")).select("x.lang", "word", "x.c").where("c > 0")
+    grams_ = _by_language(each.mapInArrow(_gram_counts, "lang string, n int, gram string, c long"), ["n", "gram"], langs, "lang-grams")
+    tables = [_table(words, "word", len(langs)), *(_table(grams_.where(F.col("n") == n), "gram", len(langs)) for n in range(1, LONGEST + 1))]
+    return Fitted(Model(langs, [t for t, _ in tables]), words, grams_, np.array([x for _, x in tables]))
 
 
 class _Places(dict):
@@ -194,18 +217,65 @@ class Predictor:
             p.fresh = []
 
 
-def _predicted(shared):
+def _looked_up(shared):
+    """For each text: how many words have a letter, the sums of the frequent ones' vectors, the others and how often they occur."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(shared.value)
+        model = shared.value
+        places, missing = model.tables[0], len(model.matrix)
+        columns = [np.append(x, 0.0) for x in model.matrix.T]
         for b in slices(batches):
-            names, scores = predictor(b["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            lists = [letters(t) for t in b["text"].to_pylist()]
+            ends = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lists]))).astype(np.int64)
+            at = np.fromiter(map(places.get, chain.from_iterable(chain(x, ("",)) for x in lists), repeat(missing)), np.int64, int(ends[-1]))
+            sums = np.stack([np.add.reduceat(x[at], ends[:-1]) for x in columns], axis=1)
+            rare = [Counter([w for i in np.flatnonzero(at[a : a + len(x)] == missing).tolist() if (w := x[i]).isalpha() or any(map(str.isalpha, w))]) for x, a in zip(lists, ends.tolist(), strict=False)]
+            n = np.add.reduceat((at != missing).astype(np.int64), ends[:-1]) + np.array([x.total() for x in rare], np.int64)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["trained"], pa.array(n), pa.array(list(sums), pa.list_(pa.float64())), pa.array([list(x) for x in rare], pa.list_(pa.string())), pa.array([list(x.values()) for x in rare], pa.list_(pa.int64()))], ["doc_id", "trained", "n", "sums", "rare", "rare_n"])
 
     return run
 
 
+def _parts(shared):
+    """For an unseen word and each length, from the longest to the first with a frequent n-gram: number and sums of the frequent n-grams, and the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            out = []
+            for word in b["word"].to_pylist():
+                for n in range(LONGEST, 0, -1):
+                    all_, t = grams(word, n), model.tables[n]
+                    found = [t[g] for g in all_ if g in t]
+                    out.append((word, n, len(found), model.matrix[found].sum(axis=0), [g for g in all_ if g not in t]))
+                    if found:
+                        break
+            types = (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["word", "n", "k", "sums", "rare"])
+
+    return run
+
+
+def _vectors(counts: DataFrame, keys: list[str], fitted: Fitted, n=None) -> DataFrame:
+    """keys and v0, v1, ...: log frequencies by language; n: length of the n-gram, none for words."""
+    size = lambda i: F.lit(float(fitted.sizes[0, i])) if n is None else F.element_at(F.array(*[F.lit(float(x)) for x in fitted.sizes[1:, i]]), n)
+    return counts.select(*keys, *[(F.ln(F.col("c")[i] + SMOOTHING) - size(i)).alias(f"v{i}") for i in range(len(fitted.model.langs))])
+
+
+def unseen_vectors(asked: DataFrame, fitted: Fitted, shared: Shared) -> DataFrame:
+    """word and v0, v1, ... by n-grams of the words (each once) that are not trained, stored; those of which nothing is known are left out."""
+    v = [f"v{i}" for i in range(len(fitted.model.langs))]
+    unseen = asked.join(fitted.words.select("word"), "word", "left_anti")
+    parts = stored(unseen.mapInArrow(_parts(shared), "word string, n int, k long, sums array<double>, rare array<string>"), "lang-unseen")
+    rare = parts.select("word", "n", F.explode("rare").alias("gram")).join(_vectors(fitted.grams, ["n", "gram"], fitted, F.col("n")), ["n", "gram"])
+    more = rare.groupBy("word", "n").agg(F.count("*").alias("m"), *[F.sum(x).alias(x) for x in v])
+    k = F.col("k") + F.coalesce("m", F.lit(0))
+    means = parts.join(more, ["word", "n"], "left").where(k > 0).select("word", "n", *[((F.col("sums")[i] + F.coalesce(x, F.lit(0.0))) / k).alias(x) for i, x in enumerate(v)])
+    return stored(means.groupBy("word").agg(F.max_by(F.struct(*v), "n").alias("x")).select("word", "x.*"), "lang-backoff")
+
+
 def _accepted(shared):
-    """The rows that get a language, with all their columns."""
+    """The rows that get a language, with all their columns. Whether, not which, counts here, and no table decides it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)
@@ -216,19 +286,31 @@ def _accepted(shared):
     return run
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score; only the text is looked at."""
-    shared = Shared(docs.sparkSession, model)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_predicted(shared), "doc_id long, lang_pred string, score double")
+def predict(docs: DataFrame, fitted: Fitted, trained: Column | None = None) -> DataFrame:
+    """doc_id, lang_pred and score; only the text is looked at. trained: which rows were fitted, so that all their words are known."""
+    langs = fitted.model.langs
+    if not langs:
+        return docs.select(F.col("doc_id").cast("long"), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    shared = Shared(docs.sparkSession, fitted.model)
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.lit(False) if trained is None else trained, F.lit(False)).alias("trained"))
+    rows = stored(row_ids(source.mapInArrow(_looked_up(shared), "doc_id long, trained boolean, n long, sums array<double>, rare array<string>, rare_n array<long>")), "lang-rows")
+    unseen = unseen_vectors(rows.where("NOT trained").select(F.explode("rare").alias("word")).distinct(), fitted, shared)
+    rare = rows.select("uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("times"))
+    vectors = _vectors(fitted.words, ["word"], fitted).unionByName(unseen)
+    more = rare.join(vectors, "word").groupBy("uid").agg(*[F.sum(F.col("times") * F.col(f"v{i}")).alias(f"v{i}") for i in range(len(langs))])
+    totals = rows.join(more, "uid", "left").select("doc_id", "n", F.array(*[F.col("sums")[i] + F.coalesce(f"v{i}", F.lit(0.0)) for i in range(len(langs))]).alias("t")).withColumn("best", F.array_max("t"))
+    share = 1 / F.aggregate("t", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("best")))
+    name = F.element_at(F.array(*map(F.lit, langs)), F.array_position("t", F.col("best")).cast("int"))
+    return totals.select("doc_id", F.when(F.col("n") > 0, name).otherwise(UNDETERMINED).alias("lang_pred"), F.when(F.col("n") > 0, share).otherwise(0.0).alias("score"))
 
 
 def language_id(docs: DataFrame) -> DataFrame:
     """Learn from the labelled rows outside the held-out fold and predict all."""
-    model = fit(docs.where(fold("doc_id", FOLDS) != HELD_OUT))
-    return predict(docs, model).select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
+    fitted = fit(docs.where(fold("doc_id", FOLDS) != HELD_OUT))
+    return predict(docs, fitted, (fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull()).select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs, with their columns, that have a language."""
-    shared = Shared(docs.sparkSession, fit(docs.where(fold("doc_id", FOLDS) != HELD_OUT)))
+    shared = Shared(docs.sparkSession, fit(docs.where(fold("doc_id", FOLDS) != HELD_OUT)).model)
     return docs.mapInArrow(_accepted(shared), docs.schema)

@@ -164,6 +164,32 @@ def test_backoff_is_word_first_then_longest():
     assert m.vector("zz").tolist() == [0, 0] and m.vector("½") is None
 
 
+@pytest.mark.parametrize("table", [1, 30])
+def test_rare_words_and_grams_count(spark, monkeypatch, table):
+    monkeypatch.setattr(language_id, "TABLE", table)  # so that nearly all words and n-grams are beyond the tables
+    r = random.Random(3)
+    alphabet = {"en": "abcdefgh", "de": "efghijkl", "rare": "ghijklmñ"}
+    rows = [row(i, " ".join("".join(r.choices(alphabet[k], k=r.randint(1, 7))) for _ in range(20)), k) for i in range(90) for k in [("en", "de", "rare")[0 if i % 9 < 5 else 1 + (i % 9 == 8)]]]
+    rows += [row(100, "½ zzz"), row(101, "½"), row(102, rows[8][1].upper() + " aq"), row(103, None), rows[3]]
+    counts, by = [Counter() for _ in range(5)], Counter()
+    for i, text, lang, *_ in rows:
+        if text and lang and fold(i, 4) != 2:
+            for w in language_id.letters(text):
+                for n, keys in enumerate([[w], *(language_id.grams(w, n) for n in range(1, 5))]):
+                    for key in keys:
+                        counts[n][lang, key] += 1
+                        by[n, lang] += 1
+    langs = sorted(alphabet)
+    keys = [{key for _, key in c} for c in counts]
+    whole = language_id.Model(langs, [{key: np.array([math.log((counts[n][x, key] + 0.5) / (by[n, x] + 0.5 * len(keys[n]))) for x in langs]) for key in keys[n]} for n in range(5)])
+    want = dict(zip([x[0] for x in rows], zip(*language_id.Predictor(whole)([x[1] for x in rows]), strict=True), strict=True))
+    got = language_id.language_id(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert (x.lang_pred, x.score) == (want[x.doc_id][0], pytest.approx(want[x.doc_id][1], rel=1e-6))
+    assert {x.lang_pred for x in got} >= set(langs)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_language_of_held_out_rows(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
