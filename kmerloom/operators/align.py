@@ -43,14 +43,24 @@ def suffix_seeds(graph: KmerGraph, queries: DataFrame, length: int, most: int =
     return q.join(ends.join(few, "part", "left_semi"), "part").select("query_id", "pos", "kmer")
 
 
+class Unloaded(Exception):
+    """A walk needs the neighbours of ``nodes``, which are not there yet."""
+
+    def __init__(self, nodes: set[str]):
+        super().__init__()
+        self.nodes = nodes
+
+
 def extend(successors: Callable[[str], list[str]], start: str, query: str, scoring: cg.Scoring, xdrop: int = 27, nodes_per_char: float = 5.0) -> tuple[int, list[tuple[str, int]], str]:
     """Best score, operations and letters of a walk from ``start`` (not included) against a prefix of ``query``.
 
     Affine gaps, a column of the table for each node of the walks' tree, best columns first;
     columns whose best cell falls xdrop under the best so far are left. The end bonus
-    is added at the query's end.
+    is added at the query's end. Where successors raises Unloaded, the nodes of all columns that are left go with it.
     """
     n, low = len(query), -(10**9)
+    if not n:
+        return scoring.right_end_bonus, [], ""
     first = [0, *(scoring.gap_open + i * scoring.gap_extend for i in range(n))]
     columns = [(start, -1, "", first, [low] * (n + 1))]
     bonus = lambda j: scoring.right_end_bonus if j == n else 0
@@ -60,7 +70,11 @@ def extend(successors: Callable[[str], list[str]], start: str, query: str, scori
     while heap and made <= nodes_per_char * (n + 1) + 8:
         _, at = heapq.heappop(heap)
         node, _, _, s, d = columns[at]
-        for nxt in successors(node):
+        try:
+            after = successors(node)
+        except Unloaded as e:
+            raise Unloaded(e.nodes | {columns[i][0] for _, i in heap}) from None
+        for nxt in after:
             made += 1
             letter = nxt[-1]
             gap = [max(d[j] + scoring.gap_extend, s[j] + scoring.gap_open) for j in range(n + 1)]
@@ -100,21 +114,40 @@ def extend(successors: Callable[[str], list[str]], start: str, query: str, scori
 RESULT = "query_id long, orientation string, sequence string, score int, matches int, cigar string, offset int"
 
 
-def align_one(seq: str, nodes: set[str], k: int, scoring: cg.Scoring, seeds: list[tuple[int, int]], xdrop: int = 27) -> tuple[str, int, int, str] | None:
-    """Best (sequence, score, matches, cigar) through any of the seeds (first and last windows)."""
+def align_one(seq: str, nodes: set[str], k: int, scoring: cg.Scoring, seeds: list[tuple[int, int]], xdrop: int = 27, done: set[str] | None = None) -> tuple[str, int, int, str] | None:
+    """Best (sequence, score, matches, cigar) through any of the seeds (first and last windows).
+
+    done: the nodes whose neighbours are all in ``nodes``, all if not given; raises Unloaded if a walk needs those of others.
+    """
     by_prefix: dict[str, list[str]] = {}
     by_suffix: dict[str, list[str]] = {}
     for x in nodes:
         by_prefix.setdefault(x[:-1], []).append(x)
         by_suffix.setdefault(x[1:], []).append(x)
-    forward = lambda x: sorted(by_prefix.get(x[1:], []))
-    backward = lambda x: sorted(y[::-1] for y in by_suffix.get(x[::-1][:-1], []))
+
+    def forward(x: str) -> list[str]:
+        if done is not None and x not in done:
+            raise Unloaded({x})
+        return sorted(by_prefix.get(x[1:], []))
+
+    def backward(x: str) -> list[str]:
+        if done is not None and x[::-1] not in done:
+            raise Unloaded({x})
+        return sorted(y[::-1] for y in by_suffix.get(x[::-1][:-1], []))
+
     flipped = cg.Scoring(scoring.matrix, scoring.gap_open, scoring.gap_extend, scoring.right_end_bonus, scoring.left_end_bonus, scoring.other)
-    best = None
+    best, needed = None, set()
     for first, last in seeds:
         core = seq[first : last + k]
-        right, r_ops, r_seq = extend(forward, core[-k:], seq[last + k :], scoring, xdrop)
-        left, l_ops, l_seq = extend(backward, core[:k][::-1], seq[:first][::-1], flipped, xdrop)
+        walks = []
+        for step, start, rest, by in ((forward, core[-k:], seq[last + k :], scoring), (backward, core[:k][::-1], seq[:first][::-1], flipped)):
+            try:
+                walks.append(extend(step, start, rest, by, xdrop))
+            except Unloaded as e:
+                needed |= e.nodes if step is forward else {x[::-1] for x in e.nodes}
+        if needed:
+            continue
+        (_, r_ops, r_seq), (_, l_ops, l_seq) = walks
         used_left = sum(n for op, n in l_ops if op != "D")
         used_right = sum(n for op, n in r_ops if op != "D")
         ops = [("S", first - used_left)] * (first > used_left) + l_ops[::-1] + [("=", len(core))] + r_ops + [("S", len(seq) - last - k - used_right)] * (len(seq) - last - k > used_right)
@@ -123,40 +156,63 @@ def align_one(seq: str, nodes: set[str], k: int, scoring: cg.Scoring, seeds: lis
         score = scoring.score(sequence, seq, cigar)
         if best is None or score > best[1]:
             best = (sequence, score, sum(n for op, n in cg.parse(cigar) if op == "="), cigar)
+    if needed:
+        raise Unloaded(needed - done)
     return best
 
 
 def align(graph: KmerGraph, queries: DataFrame, scoring: cg.Scoring | None = None, steps: int | None = None, min_match: float = 0.0, xdrop: int = 27) -> DataFrame:
     """Best alignment of each query (query_id, seq) with a seed.
 
-    Each query meets the nodes within ``steps`` (k + 1 if not given) of its seeds only: rounds of
-    equi-joins gather them, then one task extends the query over them.
+    Rounds of equi-joins gather the nodes near a query's k-mers, then one task extends the query over
+    them. Where a walk that is within its drop needs the neighbours of a node that is not passed yet, they
+    are gathered and the query is extended anew, so the result is that over the whole graph. With ``steps``,
+    only nodes within so many steps are met, and walks end there.
     """
     scoring = scoring or cg.Scoring()
     k = graph.k
-    steps = k + 1 if steps is None else steps
     queries = queries.select("query_id", graph.alphabet.normalise("seq").alias("seq"))
     runs = exact_seeds(graph, queries, min_match)
     hits = explode_kmers(queries, "seq", k, ["query_id"], graph.alphabet).join(graph.both_strands().select("kmer"), "kmer", "left_semi").join(runs.select("query_id").distinct(), "query_id", "left_semi")
     edges = stored(graph.edges(), "align-edges")
-    near = stored(hits.select("query_id", "kmer").distinct().withColumn("step", F.lit(0)), "align-near")
-    for i in range(1, steps + 1):
-        front = near.where(F.col("step") == i - 1)
-        new = front.join(edges, F.col("kmer") == F.col("source")).select("query_id", F.col("target").alias("kmer")).unionByName(front.join(edges, F.col("kmer") == F.col("target")).select("query_id", F.col("source").alias("kmer"))).distinct().join(near, ["query_id", "kmer"], "left_anti")
-        if new.isEmpty():
-            break
-        near = stored(near.unionByName(new.withColumn("step", F.lit(i))), "align-near")
-    groups = queries.join(runs.groupBy("query_id").agg(F.collect_list(F.struct("first", "last")).alias("seeds")), "query_id").join(near.groupBy("query_id").agg(F.collect_list("kmer").alias("nodes")), "query_id")
+
+    def gathered(front: DataFrame, near: DataFrame, done: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+        """near and done (query_id, kmer) after up to most steps from front."""
+        for _ in range(most):
+            new = front.join(edges, F.col("kmer") == F.col("source")).select("query_id", F.col("target").alias("kmer")).unionByName(front.join(edges, F.col("kmer") == F.col("target")).select("query_id", F.col("source").alias("kmer"))).distinct().join(near, ["query_id", "kmer"], "left_anti")
+            done = stored(done.unionByName(front), "align-done")
+            front = stored(new, "align-front")
+            if front.isEmpty():
+                break
+            near = stored(near.unionByName(front), "align-near")
+        return near, done
 
     def run(frames):
         for f in frames:
             out = []
-            for query_id, seq, seeds, nodes in zip(f["query_id"], f["seq"], f["seeds"], f["nodes"], strict=True):
-                if found := align_one(seq, set(nodes), k, scoring, sorted((int(x["first"]), int(x["last"])) for x in seeds), xdrop):
-                    out.append((query_id, "+", found[0], found[1], found[2], found[3], 0))
-            yield pd.DataFrame(out, columns=["query_id", "orientation", "sequence", "score", "matches", "cigar", "offset"])
-
-    return groups.select("query_id", "seq", "seeds", "nodes").mapInPandas(run, RESULT)
+            for query_id, seq, seeds, nodes, passed in zip(f["query_id"], f["seq"], f["seeds"], f["nodes"], f["passed"], strict=True):
+                places = sorted((int(x["first"]), int(x["last"])) for x in seeds)
+                try:
+                    if found := align_one(seq, set(nodes), k, scoring, places, xdrop, None if steps is not None else set(passed) if passed is not None else set()):
+                        out.append((query_id, "+", found[0], found[1], found[2], found[3], 0, []))
+                except Unloaded as e:
+                    out.append((query_id, "+", None, 0, 0, None, 0, sorted(e.nodes)))
+            yield pd.DataFrame(out, columns=["query_id", "orientation", "sequence", "score", "matches", "cigar", "offset", "needed"])
+
+    near = stored(hits.select("query_id", "kmer").distinct(), "align-near")
+    left = stored(queries.join(runs.groupBy("query_id").agg(F.collect_list(F.struct("first", "last")).alias("seeds")), "query_id"), "align-queries")
+    near, done = gathered(near, near, near.limit(0), k + 1 if steps is None else steps)
+    found = None
+    while True:
+        groups = left.join(near.groupBy("query_id").agg(F.collect_list("kmer").alias("nodes")), "query_id").join(done.groupBy("query_id").agg(F.collect_list("kmer").alias("passed")), "query_id", "left")
+        tried = stored(groups.select("query_id", "seq", "seeds", "nodes", "passed").mapInPandas(run, f"{RESULT}, needed array<string>"), "align-tried")
+        ended = tried.where("size(needed) = 0").drop("needed")
+        found = ended if found is None else found.unionByName(ended)
+        needed = tried.select("query_id", F.explode("needed").alias("kmer"))
+        if needed.isEmpty():
+            return found
+        left = stored(left.join(needed.select("query_id").distinct(), "query_id", "left_semi"), "align-queries")
+        near, done = gathered(needed, near.join(left, "query_id", "left_semi"), done.join(left, "query_id", "left_semi"), k + 1)
 
 
 def align_both_strands(graph: KmerGraph, queries: DataFrame, **options) -> DataFrame:

@@ -203,6 +203,21 @@ def test_alignment(spark):
     assert align.align(g, spark.createDataFrame([(9, "TTTTTTTT")], "query_id long, seq string")).count() == 0
 
 
+def test_alignment_goes_on_within_its_drop(spark):
+    """Tails without an exact k-mer that are longer than k + 1 letters, at either end; by default no walk is cut."""
+    r = random.Random(8)
+    path = "".join(r.choices("ACGT", k=80))
+    k = 7
+    g = KmerGraph.build(seqs(spark, path), k, DNA)
+    other = lambda s, places: "".join({"A": "C", "C": "A", "G": "T", "T": "G"}[c] if i in places else c for i, c in enumerate(s))
+    asked = {0: other(path[20:60], {13, 19, 25, 31, 37}), 1: other(path[20:60], {2, 8, 14, 20, 26})}
+    got = {x.query_id: x for x in align.align(g, spark.createDataFrame(list(asked.items()), "query_id long, seq string")).collect()}
+    nodes = {path[i : i + k] for i in range(len(path) - k + 1)}
+    for i, text in asked.items():
+        whole = align.align_one(text, nodes, k, cg.Scoring(), [(p, p) for p in range(len(text) - k + 1) if text[p : p + k] in nodes])
+        assert got[i].cigar.count("X") == 5 and got[i].sequence == path[20:60] and (got[i].score, got[i].matches) == (whole[1], 35)
+
+
 def test_chain(spark):
     seeds = spark.createDataFrame([(0, "a", 0, 10, 5), (0, "a", 8, 18, 5), (0, "a", 3, 50, 4)], "query_id long, label string, pos long, coord long, length long")
     assert align.chain(seeds).first().asDict() == {"query_id": 0, "label": "a", "score": 10.0, "chain": "0@10+5,8@18+5"}
