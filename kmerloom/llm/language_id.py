@@ -10,7 +10,7 @@ share of the counts is above 1 / TABLE, at most TABLE each, go to every task; ot
 of the texts meet their counts in a join, as do the n-grams of unseen words.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is
-everything if no row is labelled; ties go to the first language by
+everything if no row is labelled (``accepted`` then keeps all texts with a letter); ties go to the first language by
 code point; an empty table gives an empty result.
 """
 
@@ -280,8 +280,12 @@ def _accepted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)
         for b in slices(batches):
-            names, _ = predictor(b["text"].to_pylist())
-            yield b.filter(pa.array([x != UNDETERMINED for x in names], pa.bool_()))
+            texts = b["text"].to_pylist()
+            if predictor.model.langs:
+                kept = [x != UNDETERMINED for x in predictor(texts)[0]]
+            else:
+                kept = [any(any(map(str.isalpha, w)) for w in letters(x)) for x in texts]
+            yield b.filter(pa.array(kept, pa.bool_()))
 
     return run
 
@@ -311,6 +315,6 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, that have a language."""
+    """The rows of docs, with their columns, that have a language; if none was learnt, those that have a letter."""
     shared = Shared(docs.sparkSession, fit(docs.where(fold("doc_id", FOLDS) != HELD_OUT)).model)
     return docs.mapInArrow(_accepted(shared), docs.schema)

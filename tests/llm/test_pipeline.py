@@ -55,6 +55,12 @@ def test_stages(spark, tmp_path):
     assert Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in final) == Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in seen["packing"])
 
 
+def test_texts_with_a_letter_stay_if_no_language_is_learnt(spark):
+    unlabelled = [(*x[:2], None, *x[3:]) for x in rows()]
+    got = corpus_pipeline.identify(spark, spark.createDataFrame(unlabelled, SCHEMA).repartition(3), "").collect()
+    assert Counter(map(tuple, got)) == Counter(x for x in unlabelled if x[0] not in (100, 101, 102))
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
