@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: For each scratch() that is entered, the paths that were handed out since.
+_scopes: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only a local session may lack it."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local session, as in tests, may lack it; it then gets a temporary folder.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local["):
@@ -19,7 +27,36 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/kmerloom/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/kmerloom/{name}-{uuid.uuid4().hex}"
+    """Write df as Parquet to the shared folder and read it back: lineage ends here."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deleted(spark: SparkSession, *paths: str) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that nothing reads any more."""
+    deleted(df.sparkSession, *{x.rpartition("/")[0] for x in df.inputFiles()})
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within are deleted at the end: what is to stay must be written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        deleted(spark, *_scopes.pop())
