@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -12,9 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import scratch_path, stored
+
 #: The white space of every contract here: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -23,40 +24,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session may lack it; it then gets a temporary folder.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="kmerloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/kmerloom/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a ``stored`` table that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -84,9 +51,64 @@ def row_ids(df: DataFrame, name: str = "uid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def held(docs: DataFrame, name: str) -> DataFrame:
-    """uid and row (all columns of docs, whatever their names), stored, for operators that give back rows of docs."""
-    return stored(row_ids(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))), name)
+#: Rows of a file whose numbers of copies lie together, and bytes of such numbers that are broadcast at once.
+PLACE_ROWS, PLACE_BYTES = 4096, 64 << 20
+
+
+def placed(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """docs with files to read it from, and ``at`` (file and number of the row in it) with some of its columns.
+
+    A plain read of Parquet is taken as it is; anything else is stored first. So rows
+    are named, and later taken again, without a copy of their texts.
+    """
+
+    def located(df: DataFrame) -> DataFrame:
+        meta = df.metadataColumn("_metadata")
+        return df.select(F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")).alias("at"), *columns)
+
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return docs, located(docs)
+        except AnalysisException:  # a read of something else
+            pass
+    docs = stored(docs, "rows")
+    return docs, located(docs)
+
+
+def taken(docs: DataFrame, copies: DataFrame, at_once: int = PLACE_BYTES) -> DataFrame:
+    """The rows of docs (the first of ``placed``), each as often as copies (at, n) says; rows that it lacks go.
+
+    The numbers of copies, a byte a row of a file, are packed by runs of PLACE_ROWS rows and meet the rows
+    by a broadcast join, so texts are not shuffled. Where they are more than ``at_once`` bytes, files are dealt
+    to waves of so many bytes each, and each wave reads its files only and has its own broadcast.
+    """
+    runs = copies.where("n > 0").select(F.col("at.file").alias("file"), F.expr(f"at.row div {PLACE_ROWS}").alias("run"), (F.col("at.row") % PLACE_ROWS).cast("int").alias("i"), F.col("n").cast("tinyint").alias("n"))
+    each = F.sort_array(F.collect_list(F.struct("i", "n")))
+    packed = runs.groupBy("file", "run").agg(each.alias("x")).withColumn("y", F.transform("x", lambda v, j: F.struct(v.n.alias("n"), (v.i - F.when(j > 0, F.get("x", j - 1).i).otherwise(-1) - 1).alias("gap"))))
+    zero = F.lit(0).cast("tinyint")
+    packed = stored(packed.select("file", "run", F.flatten(F.transform("y", lambda v: F.concat(F.array_repeat(zero, v.gap), F.array(v.n)))).alias("copies")), "copies")
+    sizes = packed.groupBy("file").agg(F.sum(F.size("copies") + F.length("file") + 64).alias("b"))
+    total = sizes.agg(F.sum("b")).first()[0] or 0
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    meta = docs.metadataColumn("_metadata")
+    source = docs.select(F.struct(*columns).alias("row"), meta["file_path"].alias("file"), meta["row_index"].alias("place"))
+
+    def wave(rows: DataFrame, some: DataFrame) -> DataFrame:
+        keyed = rows.withColumn("run", F.expr(f"place div {PLACE_ROWS}")).join(F.broadcast(some), ["file", "run"])
+        times = F.coalesce(F.get("copies", (F.col("place") % PLACE_ROWS).cast("int")), zero).cast("int")
+        return keyed.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
+
+    if total <= at_once:
+        return wave(source, packed)
+    numbered = sizes.selectExpr("file", f"(sum(b) OVER (ORDER BY file) - b) div {at_once} AS wave")  # a row a file
+    files: dict[int, list[str]] = {}
+    for x in numbered.collect():
+        files.setdefault(x.wave, []).append(x.file)
+    out = None
+    for some in files.values():
+        part = wave(source.where(F.col("file").isin(some)), packed.where(F.col("file").isin(some)))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 class Shared:

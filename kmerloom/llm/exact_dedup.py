@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, held, row_ids, stored, text_of
+from .common import SPACES, placed, row_ids, stored, taken, text_of
 
 #: Distinct digests that one shard is meant to hold, and rows looked up in one task's group.
 SHARD_DIGESTS = 4096
@@ -131,11 +131,11 @@ def _probe(rows: pa.Table, index: pa.Table) -> pa.Table:
     return pa.table(out | {k: pa.array(x[k], pa.int64()).take(take) for k in ("keep_id", "keep_uid", "group_size")}).cast(_FOUND)
 
 
-def digests(docs: DataFrame, uid: Column | None = None) -> DataFrame:
-    """uid, doc_id, digest (sha256 of the text without white space), n_chars (of the text as it is); stored."""
+def digests(docs: DataFrame) -> DataFrame:
+    """uid, doc_id, digest (sha256 of the text without white space), n_chars (of the text as it is), and at if docs has it; stored."""
     text = text_of("text")
-    out = docs.select(*([] if uid is None else [uid]), F.col("doc_id").cast("long"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"), F.char_length(text).cast("long").alias("n_chars"))
-    return stored(row_ids(out) if uid is None else out, "digests")
+    out = docs.select(*["at"] * ("at" in docs.columns), F.col("doc_id").cast("long"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"), F.char_length(text).cast("long").alias("n_chars"))
+    return stored(row_ids(out), "digests")
 
 
 def winners(rows: DataFrame) -> DataFrame:
@@ -188,6 +188,7 @@ def _deduplicated(rows: DataFrame, history: DataFrame | None = None) -> DataFram
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs, with their columns, that stay."""
-    rows = held(docs, "exact-rows")
-    found = _deduplicated(digests(rows.select("uid", "row.doc_id", "row.text"), F.col("uid")))
-    return rows.join(found.where("kept").select("uid"), "uid", "left_semi").select("row.*")
+    docs, located = placed(docs, "doc_id", "text")
+    rows = digests(located)
+    kept = _deduplicated(rows.drop("at")).where("kept").select("uid")
+    return taken(docs, rows.join(kept, "uid").select("at", F.lit(1).alias("n")))

@@ -1,15 +1,16 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Slot t of the mix goes to the source in whose share of the cumulative targets the
-golden-ratio point frac((t + 1) * phi) falls. Slots are ranked by source; the
+golden-ratio point frac((t + 1) * phi) falls. Slots are ranked by source; a
 source's documents, in hash order and repeated up to ``most_repeats`` times,
-form a stream that is cut into blocks of equal size; slot rank r takes block r.
-Blocks that the schedule has not reached come after it, so each source gives
-its target, to the word.
+form a stream that is cut into blocks of BLOCK words; the slot of rank r takes block r.
+A source needs as many blocks as its target fills, the last of them in part. The
+schedule goes on, in rounds over the shares that are still missing, until every source
+has that many slots, so what the mix takes is what its slots cover.
 
 Defined cases: null text has size 0; a null source comes last; documents of
-size 0 take nothing; repeated rows are documents of their own; an
-empty table gives an empty result.
+size 0 take nothing; equal rows are documents of their own, and which of them takes what is
+open; an empty table gives an empty result. Sources are few: the driver holds a row each.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, row_ids, stored, text_of
+from .common import placed, row_ids, stored, taken, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
-#: Words of a block; less where that would give a source of a small table under a thousand blocks.
+#: Words of a block.
 BLOCK = 1024
 #: Slots that one task schedules, and rows of a source whose running sizes are summed together.
 CHUNK = 1 << 16
@@ -93,6 +94,28 @@ def _ranked(ends: np.ndarray, slots: int, chunk: int):
     return run
 
 
+def counted(spark, shares: list[float], slots: int, chunk: int = CHUNK) -> np.ndarray:
+    """How many of the slots each source gets; many slots are counted by tasks."""
+    ends = _ends(shares)
+    if slots <= chunk:
+        return np.bincount(_slots(np.arange(slots), ends), minlength=len(ends))
+    out = np.zeros(len(ends), np.int64)
+    for x in spark.range(-(-slots // chunk)).mapInArrow(_counted(ends, slots, chunk), "chunk long, src long, n long").groupBy("src").agg(F.sum("n").alias("n")).collect():
+        out[x.src] = x.n
+    return out
+
+
+def rounds(spark, needed: list[int], chunk: int = CHUNK) -> list[tuple[list[int], int, list[int]]]:
+    """(shares, first slot, slots each source had before) of each round, until each source has the slots that it needs."""
+    left, before, at, out = np.array(needed, np.int64), np.zeros(len(needed), np.int64), 0, []
+    while left.sum():
+        shares = left.tolist()
+        out.append((shares, at, before.tolist()))
+        got = counted(spark, shares, sum(shares), chunk)
+        before, left, at = before + got, np.maximum(left - got, 0), at + sum(shares)
+    return out
+
+
 def schedule(spark, shares: list[float], slots: int, chunk: int = CHUNK) -> DataFrame:
     """src, block (rank of the slot in its source), slot, for all slots."""
     ends, chunks = _ends(shares), -(-slots // chunk)
@@ -101,55 +124,75 @@ def schedule(spark, shares: list[float], slots: int, chunk: int = CHUNK) -> Data
     return before.groupBy("chunk").agg(F.collect_list(F.struct("src", "rank")).alias("before")).mapInArrow(_ranked(ends, slots, chunk), "src long, block long, slot long")
 
 
-def sized(docs: DataFrame, uid: bool = False) -> DataFrame:
-    """uid, doc_id, source, size, h (place in the source's hash order), stored; uid: docs has that column and it numbers the rows."""
+def complete_schedule(spark, needed: list[int], chunk: int = CHUNK) -> DataFrame:
+    """src, block, slot: as many slots as each source needs, and where a round gave it more, those too."""
+    out = None
+    for shares, first, before in rounds(spark, needed, chunk):
+        passed = F.element_at(F.array(*map(F.lit, before)).cast("array<long>"), (F.col("src") + 1).cast("int")) if any(before) else F.lit(0).cast("long")
+        part = schedule(spark, shares, sum(shares), chunk).select("src", (F.col("block") + passed).alias("block"), (F.col("slot") + first).alias("slot"))
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "src long, block long, slot long") if out is None else out
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """uid, doc_id, source, size, h (place in the source's hash order), and at if docs has it; stored."""
     text = text_of("text")
     size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    out = docs.select(*["uid"] * uid, F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.xxhash64(F.lit(_SHUFFLE_SEED), "doc_id", F.xxhash64(text)).alias("h"))
-    return stored(out if uid else row_ids(out), "sized")
+    return stored(row_ids(docs.select(*["at"] * ("at" in docs.columns), F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.xxhash64(F.lit(_SHUFFLE_SEED), "doc_id", F.xxhash64(text)).alias("h"))), "sized")
 
 
-def mixed(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, most: int = MOST_REPEATS) -> tuple[DataFrame, DataFrame]:
-    """The sources (src, source, source_size, target) and the mix: slot, src, block, uid, epoch, start and length of each piece.
+def _streams(rows: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """uid, src, size, source_size, take and place of each row that has words: where it begins in its source's stream.
 
-    The driver holds one row a source.
+    The stream is cut into ranges of about STREAM_ROWS rows, by as many leading bits of h as the source's
+    rows need. Where equal rows, which share h, make a range longer, they come after its others, dealt to ranges by their numbers.
     """
+    known = rows.where("size > 0").join(F.broadcast(sources), rows.source.eqNullSafe(sources.source)).select("uid", "src", "size", "h", "doc_id", "source_size", "take", F.expr("CASE WHEN cut = 0 THEN 0L ELSE shiftright(h, 64 - cut) END").alias("part"))
+    lengths = stored(known.groupBy("src", "part").agg(F.count("*").alias("m")).where(F.col("m") > 4 * STREAM_ROWS), "long-ranges")
+    alike, salt = F.lit(None).cast("long"), F.lit(0).cast("long")
+    if not lengths.isEmpty():
+        equal = known.join(lengths, ["src", "part"], "left_semi").groupBy("src", "h").agg(F.count("*").alias("m")).where(F.col("m") > STREAM_ROWS)
+        known = known.join(F.broadcast(equal), ["src", "h"], "left")  # fewer than a row in STREAM_ROWS
+        alike, salt = F.when(F.col("m").isNotNull(), F.col("h")), F.coalesce(F.pmod(F.xxhash64("uid"), F.ceil(F.col("m") / STREAM_ROWS)), F.lit(0).cast("long"))
+    known = known.select("uid", "src", "size", "h", "doc_id", "source_size", "take", F.struct("part", alike.alias("alike"), salt.alias("salt")).alias("range"))
+    ranges = known.groupBy("src", "range").agg(F.sum("size").alias("n")).selectExpr("src", "range", "sum(n) OVER (PARTITION BY src ORDER BY range) - n AS before")
+    return known.join(ranges, ["src", "range"]).selectExpr("uid", "src", "size", "source_size", "take", "before + sum(size) OVER (PARTITION BY src, range ORDER BY h, doc_id, size, uid ROWS UNBOUNDED PRECEDING) - size AS place")
+
+
+def mixed(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, most: int = MOST_REPEATS) -> tuple[DataFrame, DataFrame]:
+    """The sources (src, source, source_size, target, take, cut) and the mix: slot, src, block, uid, epoch, start and length of each piece."""
     spark = rows.sparkSession
-    found = sorted(((x.source, x.n or 0) for x in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
-    sizes = [n for _, n in found]
+    found = sorted(((x.source, x.n or 0, x.m) for x in rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("m")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
+    sizes = [n for _, n, _ in found]
     shares = targets(sizes, weights, most)
     takes = [min(most * n, round(x)) for n, x in zip(sizes, shares, strict=True)]
-    b = max(1, min(block, sum(sizes) // (1000 * max(1, len(sizes)))))
-    schema = T.StructType([T.StructField("src", T.LongType()), T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("take", T.LongType())])
-    sources = spark.createDataFrame([(i, s, n, x, k) for i, ((s, n), x, k) in enumerate(zip(found, shares, takes, strict=True))], schema)
-    slots = -(-sum(takes) // b)
-    cut = max(0, min(40, math.ceil(math.log2(max(1, rows.count() / STREAM_ROWS)))))
-    known = rows.where("size > 0").join(sources, rows.source.eqNullSafe(sources.source)).select("uid", "src", "size", "h", "doc_id", "source_size", "take", (F.shiftright("h", 64 - cut) if cut else F.lit(0).cast("long")).alias("part"))
-    parts = known.groupBy("src", "part").agg(F.sum("size").alias("n")).selectExpr("src", "part", "sum(n) OVER (PARTITION BY src ORDER BY part) - n AS before")
-    placed = known.join(parts, ["src", "part"]).selectExpr("*", "before + sum(size) OVER (PARTITION BY src, part ORDER BY h, doc_id, size, uid ROWS UNBOUNDED PRECEDING) - size AS place")
-    epochs = placed.select("*", F.posexplode(F.array_repeat(F.lit(0), most)).alias("epoch", "_")).selectExpr("uid", "src", "epoch", "epoch * source_size + place AS lo", f"least(epoch * source_size + place + size, take) AS hi").where("hi > lo")
-    blocks = epochs.select("*", F.explode(F.sequence(F.expr(f"lo div {b}"), F.expr(f"(hi - 1) div {b}"))).alias("block"))
-    cutout = blocks.selectExpr("src", "block", "uid", "epoch", f"greatest(lo, block * {b}) - lo AS start", f"least(hi, (block + 1) * {b}) - greatest(lo, block * {b}) AS length")
-    plan = schedule(spark, shares, slots)
-    return sources, cutout.join(plan.hint("merge"), ["src", "block"], "left").select(F.coalesce("slot", F.lit(slots) + F.col("block")).alias("slot"), "src", "block", "uid", "epoch", "start", "length")
+    schema = T.StructType([T.StructField("src", T.LongType()), T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("take", T.LongType()), T.StructField("cut", T.IntegerType())])
+    cuts = [max(0, min(40, math.ceil(math.log2(max(1, m / STREAM_ROWS))))) for _, _, m in found]
+    sources = spark.createDataFrame([(i, s, n, x, k, c) for i, ((s, n, _), x, k, c) in enumerate(zip(found, shares, takes, cuts, strict=True))], schema)
+    placed_ = _streams(rows, sources, most)
+    epochs = placed_.select("*", F.posexplode(F.array_repeat(F.lit(0), most)).alias("epoch", "_")).selectExpr("uid", "src", "epoch", "epoch * source_size + place AS lo", "least(epoch * source_size + place + size, take) AS hi").where("hi > lo")
+    blocks = epochs.select("*", F.explode(F.sequence(F.expr(f"lo div {block}"), F.expr(f"(hi - 1) div {block}"))).alias("block"))
+    cutout = blocks.selectExpr("src", "block", "uid", "epoch", f"greatest(lo, block * {block}) - lo AS start", f"least(hi, (block + 1) * {block}) - greatest(lo, block * {block}) AS length")
+    slots = complete_schedule(spark, [-(-k // block) for k in takes])
+    return sources, cutout.join(slots.hint("merge"), ["src", "block"]).select("slot", "src", "block", "uid", "epoch", "start", "length")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
-    """uid, doc_id, source, size, source_size, target and taken for each row of docs."""
+    """uid, doc_id, source, size, source_size, target, taken and first_slot (null where nothing is taken) for each row of docs."""
     rows = sized(docs)
     sources, manifest = mixed(rows, weights, block)
-    taken = manifest.groupBy("uid").agg(F.sum("length").alias("taken"))
-    known = rows.join(sources, rows.source.eqNullSafe(sources.source)).select("uid", "doc_id", rows.source, "size", "source_size", "target")
-    return known.join(taken, "uid", "left").select(*known.columns, F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    taken_ = manifest.groupBy("uid").agg(F.sum("length").alias("taken"), F.min("slot").alias("first_slot"))
+    known = rows.join(F.broadcast(sources), rows.source.eqNullSafe(sources.source)).select("uid", "doc_id", rows.source, "size", "source_size", "target")
+    return known.join(taken_, "uid", "left").select(*known.columns, F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot")
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
-    """The rows of docs, with their columns, each as often as the mix takes its words, to the nearest whole number.
+    """The rows of docs, with their columns, each as often as the mix's slots take its words, to the nearest whole number.
 
     A document is taken in whole passes, but for the one at the end of its source's stream.
     """
-    rows = held(docs, "mix-rows")
-    sizes = sized(rows.select("uid", "row.doc_id", "row.source", "row.text"), uid=True)
-    _, manifest = mixed(sizes, weights, block)
-    passes = manifest.groupBy("uid").agg(F.sum("length").alias("taken")).join(sizes.select("uid", "size"), "uid").select("uid", F.round(F.col("taken") / F.col("size")).cast("int").alias("passes"))
-    return rows.join(passes, "uid").select("row", F.explode(F.array_repeat(F.lit(0), F.col("passes")))).select("row.*")
+    docs, located = placed(docs, "doc_id", "source", "text")
+    rows = sized(located)
+    _, manifest = mixed(rows, weights, block)
+    words = manifest.groupBy("uid").agg(F.sum("length").alias("taken"))
+    return taken(docs, rows.select("uid", "at", "size").join(words, "uid").select("at", F.round(F.col("taken") / F.col("size")).cast("int").alias("n")))

@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, held, row_ids, slices, stored, words
+from ..plans.storage import dropped
+from .common import placed, row_ids, slices, stored, taken, words
 
 SHINGLE = 4
 RADIUS = 4
@@ -62,11 +63,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], [*b.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame, uid: bool = False) -> DataFrame:
-    """uid, doc_id, fp (the 64 bits as a signed long), stored; uid: docs has that column and it numbers the rows."""
-    source = docs.select(*["uid"] * uid, F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = source.mapInArrow(_fingerprints, "uid long, " * uid + "doc_id long, fp long")
-    return stored(out if uid else row_ids(out), "simhash")
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """uid, doc_id, fp (the 64 bits as a signed long), and at if docs has it; stored."""
+    at = "at" in docs.columns
+    source = docs.select(*["at"] * at, F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    out = source.mapInArrow(_fingerprints, "at struct<file:string,row:long>, " * at + "doc_id long, fp long")
+    return stored(row_ids(out), "simhash")
 
 
 def near(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -206,6 +208,7 @@ def _classified(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs, with their columns, that stay: one of each component."""
-    rows = held(docs, "near-rows")
-    found = _classified(fingerprints(rows.select("uid", "row.doc_id", "row.text"), uid=True))
-    return rows.join(found.where("kept").select("uid"), "uid", "left_semi").select("row.*")
+    docs, located = placed(docs, "doc_id", "text")
+    rows = fingerprints(located)
+    kept = _classified(rows.drop("at")).where("kept").select("uid")
+    return taken(docs, rows.join(kept, "uid").select("at", F.lit(1).alias("n")))

@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, slices
+from ..plans.storage import scratch_path
+from .common import slices
 from .tokens import Encoder
 
 END_ID = 0

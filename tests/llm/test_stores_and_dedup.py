@@ -211,6 +211,36 @@ def test_mix(docs, none):
     again = mixing.mix(docs.repartition(5)).collect()
     assert sorted((x.doc_id, x.size, x.taken) for x in got if x.doc_id is not None) == sorted((x.doc_id, x.size, x.taken) for x in again if x.doc_id is not None)
     assert mixing.mix(none).count() == 0
+    assert all((x.first_slot is None) == (x.taken == 0) for x in got)
+
+
+def test_mix_comes_through_its_schedule(docs, monkeypatch):
+    """Slots that are missing are words that are not taken, and another order of sources gives other first slots."""
+    before = {(x.doc_id, x.size): x for x in mixing.mix(docs, block=16).collect() if x.doc_id is not None}
+    whole = mixing.complete_schedule
+    monkeypatch.setattr(mixing, "complete_schedule", lambda *a: whole(*a).where("slot % 3 <> 0"))
+    fewer = {(x.doc_id, x.size): x for x in mixing.mix(docs, block=16).collect() if x.doc_id is not None}
+    assert sum(x.taken for x in fewer.values()) < 0.8 * sum(x.taken for x in before.values())
+    monkeypatch.setattr(mixing, "complete_schedule", lambda *a: whole(*a).limit(0))
+    assert {x.taken for x in mixing.mix(docs, block=16).collect()} == {0}
+
+
+def test_schedule_is_complete(spark):
+    for needed in ([5, 2, 1], [1000, 1, 0, 3], [0, 0], [1] * 40, [90_000, 1, 1]):
+        got = mixing.complete_schedule(spark, needed, chunk=4096).collect()
+        assert len({x.slot for x in got}) == len(got)
+        for s, n in enumerate(needed):
+            mine = sorted((x.slot, x.block) for x in got if x.src == s)
+            assert len(mine) >= n and [b for _, b in mine] == list(range(len(mine)))
+
+
+def test_mix_of_one_source_and_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STREAM_ROWS", 20)
+    rows = [(None, "same words here", None, "hot", None, "u", "f")] * 500 + [(i, "w " * (i % 7), None, "hot", None, "u", "f") for i in range(490)] + [(1000 + i, "a b", None, "rare", None, "u", "f") for i in range(10)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(4), block=64).collect()
+    assert len(got) == 1000 and all(0 <= x.taken <= 3 * x.size for x in got)
+    for s in ("hot", "rare"):
+        assert abs(sum(x.taken for x in got if x.source == s) - next(x.target for x in got if x.source == s)) <= 1
 
 
 def test_schedule_follows_the_shares(spark):
