@@ -1,7 +1,11 @@
 """The corpus pipeline: documents through five stages, each written and read again.
 
 A stage takes (spark, docs, sf_dir); all but the last return the columns of
-documents. ORACLE_SQL is None, as SQL cannot express the first stage.
+documents, whatever their names and however many. ORACLE_SQL is None, as SQL cannot express the first stage.
+
+Defined cases: rows with a null text go in the first stage; null doc_ids and sources are values
+like any other (a null doc_id comes after all others where one of several rows stays); of rows that are equal in all columns one
+stays; ties go to the smallest doc_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +14,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kmerloom.llm import exact_dedup, language_id, mixing, packing, simhash
-from kmerloom.llm.common import documents, stored
+from kmerloom.llm.common import documents
+from kmerloom.plans.storage import deleted, scratch, scratch_path
 
 ORACLE_SQL = None
 
@@ -44,7 +49,14 @@ STAGES = [("language_id", identify), ("exact_dedup", without_copies), ("near_ded
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's rows. What a stage stores on its way, and its input, go when its output is written."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        to = scratch_path(spark, name)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(to)
+        if before:
+            deleted(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(to), to
     return docs
