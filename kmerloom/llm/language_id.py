@@ -6,12 +6,13 @@ is known decides, by the mean log frequency of those. A text gets the language
 with the highest sum; its score is that language's share of the likelihood.
 
 Counts cover all labelled training rows, and every word and n-gram counts. Those whose
-share of the counts is above 1 / TABLE, at most TABLE each, go to every task; other words
-of the texts meet their counts in a join, as do the n-grams of unseen words.
+share of the counts is above 1 / TABLE, at most TABLE each, go to every task. The other
+words of a batch of texts are sent once each, packed, to the part of the table that
+their hash names, and their counts come back; n-grams of unseen words meet theirs in a join.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is
 everything if no row is labelled (``accepted`` then keeps all texts with a letter); ties go to the first language by
-code point; an empty table gives an empty result.
+code point; repeated rows are predicted each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import parts as pt
 from .common import Shared, fold, row_ids, slices, stored
 
 FOLDS, HELD_OUT = 4, 2
@@ -35,6 +37,8 @@ LONGEST = 4
 SMOOTHING = 0.5
 #: Distinct words whose vectors a task keeps, and words that its counters hold.
 CACHE, FLUSH = 300_000, 300_000
+#: Bytes of text whose rare words are asked for together.
+BATCH_BYTES = 4 << 20
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -49,41 +53,95 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)] if n > 1 else list(word)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[str, Counter[str]] = {}
+_COUNTED = pa.schema([("part", pa.int64()), ("lang", pa.int32()), ("words", pa.string()), ("c", pa.binary())])
+_COUNTED_DDL = "part long, lang int, words string, c binary"
 
-    def flush() -> pa.RecordBatch:
-        rows = [(lang, w, c) for lang, x in seen.items() for w, c in x.items() if any(map(str.isalpha, w))]
-        seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "c"])
 
-    for b in slices(batches):
-        for text, lang in zip(b["text"].to_pylist(), b["lang"].to_pylist(), strict=True):
-            seen.setdefault(lang, Counter()).update(letters(text))
-        if sum(map(len, seen.values())) > FLUSH:
+def _counted(langs: list[str], parts: int):
+    """Packed counts of the words with a letter, by part and language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen = {x: i for i, x in enumerate(langs)}, [Counter() for _ in langs]
+
+        def flush() -> pa.RecordBatch:
+            rows = []
+            for lang, counter in enumerate(seen):
+                words = [w for w in counter if any(map(str.isalpha, w))]
+                order, cuts = pt.dealt(words, parts)
+                for part, lo, hi in cuts:
+                    some = [words[i] for i in order[lo:hi].tolist()]
+                    rows.append((part, lang, " ".join(some), pt.pack(np.array([counter[w] for w in some], np.int64))))
+                counter.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_COUNTED)], schema=_COUNTED)
+
+        for b in slices(batches):
+            for text, lang in zip(b["text"].to_pylist(), b["lang"].to_pylist(), strict=True):
+                seen[at[lang]].update(letters(text))
+            if sum(map(len, seen)) > FLUSH:
+                yield flush()
+        if any(seen):
             yield flush()
-    if seen:
-        yield flush()
 
+    return run
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[tuple[str, int, str]] = Counter()
 
-    def flush() -> pa.RecordBatch:
-        keys = list(seen)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "n", "gram", "c"])
-        seen.clear()
-        return out
+_TABLE = pa.schema([("part", pa.int64()), ("words", pa.string()), ("c", pa.binary()), ("totals", pa.list_(pa.int64())), ("distinct", pa.int64())])
+_TABLE_DDL = "part long, words string, c binary, totals array<long>, distinct long"
+
 
-    for b in batches:
-        for lang, word, c in zip(b["lang"].to_pylist(), b["word"].to_pylist(), b["c"].to_pylist(), strict=True):
-            for n in range(1, LONGEST + 1):
-                for g in grams(word, n):
-                    seen[lang, n, g] += c
-        if len(seen) > FLUSH:
+def _merged(n: int):
+    """The row of one part: its words, the matrix of their counts by language, and sums."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = [w.split(" ") for w in table["words"].to_pylist()]
+        at = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(lists)))}
+        counts = np.zeros((len(at), n), np.int64)
+        for words, lang, c in zip(lists, table["lang"].to_pylist(), table["c"].to_pylist(), strict=True):
+            counts[np.fromiter(map(at.__getitem__, words), np.int64, len(words)), lang] += pt.unpack(c, "i8")  # a word is once in a list
+        return pa.Table.from_pylist([{"part": table["part"][0].as_py(), "words": " ".join(at), "c": pt.pack(counts), "totals": counts.sum(axis=0).tolist(), "distinct": len(at)}], schema=_TABLE)
+
+    return run
+
+
+def _rows_of(n: int, least: float = 0):
+    """word and c (by language) of a packed table's words with at least so many occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words, c in zip(b["words"].to_pylist(), b["c"].to_pylist(), strict=True):
+                words, counts = words.split(" "), pt.unpack(c, "i8").reshape(-1, n)
+                some = np.flatnonzero(counts.sum(axis=1) >= least)
+                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in some.tolist()], pa.string()), pa.array(list(counts[some]), pa.list_(pa.int64()))], ["word", "c"])
+
+    return run
+
+
+def _gram_counts(n: int):
+    """n, gram and counts by language of a packed table's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, str], np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.list_(pa.int64()))], ["n", "gram", "c"])
+            seen.clear()
+            return out
+
+        for b in batches:
+            for words, c in zip(b["words"].to_pylist(), b["c"].to_pylist(), strict=True):
+                for word, counts in zip(words.split(" "), pt.unpack(c, "i8").reshape(-1, n), strict=True):
+                    for length in range(1, LONGEST + 1):
+                        for g in grams(word, length):
+                            if (x := seen.get((length, g))) is None:
+                                seen[length, g] = counts.copy()
+                            else:
+                                x += counts
+                    if len(seen) > FLUSH // 2:
+                        yield flush()
+        if seen:
             yield flush()
-    if seen:
-        yield flush()
+
+    return run
 
 
 class Model:
@@ -123,42 +181,51 @@ class Model:
 
 
 class Fitted(NamedTuple):
-    """The model of what goes to every task, all counts (c: array by language; stored), and log of each table's denominators by language."""
+    """The model of what goes to every task; all words, packed by part, and all n-grams with c, their counts by language (both stored); log of each table's denominators by language."""
 
     model: Model
-    words: DataFrame
-    grams: DataFrame
+    words: DataFrame | None
+    parts: int
+    grams: DataFrame | None
     sizes: np.ndarray
 
 
-def _by_language(counts: DataFrame, keys: list[str], langs: list[str], name: str) -> DataFrame:
-    """keys and c, the array of their counts in each language, stored; counts: keys, lang and c."""
-    return stored(counts.groupBy(*keys).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == F.lit(x), F.col("c"))), F.lit(0)) for x in langs]).alias("c")), name)
+def _size(totals: list[int], distinct: int) -> np.ndarray:
+    return np.log(np.array(totals) + SMOOTHING * max(1, distinct))
 
 
-def _table(counts: DataFrame, key: str, langs: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Log frequencies of the keys whose share of all counts is at least 1 / TABLE, and the log denominators of all keys."""
-    *totals, distinct = counts.agg(*[F.coalesce(F.sum(F.col("c")[i]), F.lit(0)) for i in range(langs)], F.count("*")).first()
-    size = np.log(np.array(totals) + SMOOTHING * max(1, distinct))
-    frequent = counts.where(sum((F.col("c")[i] for i in range(langs)), F.lit(0)) * TABLE >= sum(totals)).select(key, "c")
-    return {x[key]: np.log(np.array(x.c) + SMOOTHING) - size for x in frequent.collect()}, size
+def _logs(found: list, key: str, size: np.ndarray) -> dict[str, np.ndarray]:
+    return {x[key]: np.log(np.array(x.c) + SMOOTHING) - size for x in found}
 
 
 def fit(train: DataFrame) -> Fitted:
-    """train: text and lang, of which the words' counts are stored. Languages are few and go to the driver."""
+    """train: text and lang. Languages are few and go to the driver, as do the frequent words and n-grams."""
     source = train.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    named = sorted(x.lang for x in source.select("lang").distinct().collect())
-    words = _by_language(source.mapInArrow(_counted, "lang string, word string, c long"), ["word"], named, "lang-words") if named else None
-    used = words.agg(*[F.max(F.col("c")[i]) for i in range(len(named))]).first() if named else ()
-    at = [i for i, x in enumerate(used) if x]
-    langs = [named[i] for i in at]
+    langs = sorted(x.lang for x in source.select("lang").distinct().collect())
+    none = Fitted(Model([], [{} for _ in range(LONGEST + 1)]), None, 1, None, np.zeros((LONGEST + 1, 0)))
     if not langs:
-        return Fitted(Model([], [{} for _ in range(LONGEST + 1)]), None, None, np.zeros((LONGEST + 1, 0)))
-    words = words.select("word", F.array(*[F.col("c")[i] for i in at]).alias("c"))
-    each = words.select("word", F.explode(F.arrays_zip(F.array(*map(F.lit, langs)).alias("lang"), "c")).alias("x")).select("x.lang", "word", "x.c").where("c > 0")
-    grams_ = _by_language(each.mapInArrow(_gram_counts, "lang string, n int, gram string, c long"), ["n", "gram"], langs, "lang-grams")
-    tables = [_table(words, "word", len(langs)), *(_table(grams_.where(F.col("n") == n), "gram", len(langs)) for n in range(1, LONGEST + 1))]
-    return Fitted(Model(langs, [t for t, _ in tables]), words, grams_, np.array([x for _, x in tables]))
+        return none
+    parts = pt.number(source)
+    packed = stored(source.mapInArrow(_counted(langs, parts), _COUNTED_DDL).groupBy("part").applyInArrow(_merged(len(langs)), _TABLE_DDL), "lang-words")
+    sums = lambda df: df.agg(*[F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)) for i in range(len(langs))], F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    *totals, distinct = sums(packed)
+    if used := [i for i, x in enumerate(totals) if x]:
+        if len(used) < len(langs):  # languages without a word are none
+            return fit(train.where(F.col("lang").isin([langs[i] for i in used])))
+    else:
+        return none
+    n = len(langs)
+    sizes = [_size(totals, distinct)]
+    tables = [_logs(packed.mapInArrow(_rows_of(n, sum(totals) / TABLE), "word string, c array<long>").collect(), "word", sizes[0])]
+    each = packed.repartition(parts).mapInArrow(_gram_counts(n), "n int, gram string, c array<long>").groupBy("n", "gram").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n)])
+    grams_ = stored(each.select("n", "gram", F.array(*[f"c{i}" for i in range(n)]).alias("c")), "lang-grams")
+    by = {x.n: x for x in grams_.groupBy("n").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(n)]).alias("totals"), F.count("*").alias("distinct")).collect()}
+    for length in range(1, LONGEST + 1):
+        x = by.get(length)
+        sizes.append(_size(x.totals, x.distinct) if x else _size([0] * n, 0))
+        frequent = grams_.where(F.col("n") == length).where(sum((F.col("c")[i] for i in range(n)), F.lit(0)) * TABLE >= (sum(x.totals) if x else 0))
+        tables.append(_logs(frequent.select("gram", "c").collect(), "gram", sizes[-1]))
+    return Fitted(Model(langs, tables), packed, parts, grams_, np.array(sizes))
 
 
 class _Places(dict):
@@ -217,21 +284,121 @@ class Predictor:
             p.fresh = []
 
 
-def _looked_up(shared):
-    """For each text: how many words have a letter, the sums of the frequent ones' vectors, the others and how often they occur."""
+_ROWS = pa.schema([("doc_id", pa.list_(pa.int64())), ("n", pa.binary()), ("sums", pa.binary()), ("ends", pa.binary()), ("at", pa.binary()), ("times", pa.binary()), ("asked", pa.list_(pa.struct([("part", pa.int64()), ("fresh", pa.string()), ("words", pa.string())])))])
+_ROWS_DDL = "doc_id array<long>, n binary, sums binary, ends binary, at binary, times binary, asked array<struct<part:long,fresh:string,words:string>>"
+
+
+def _looked_up(shared, parts: int):
+    """A row for each batch of texts: how many words of each have a letter, the sums of the frequent ones' vectors, and the others.
+
+    The others are in ``asked`` by part, each once: ``fresh`` those of texts that were not trained on, which may be
+    unseen, then ``words``. at: their numbers in that order, text by text (up to ``ends``), with how often they occur.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         places, missing = model.tables[0], len(model.matrix)
         columns = [np.append(x, 0.0) for x in model.matrix.T]
-        for b in slices(batches):
+        for b in slices(batches, size=BATCH_BYTES):
             lists = [letters(t) for t in b["text"].to_pylist()]
             ends = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lists]))).astype(np.int64)
             at = np.fromiter(map(places.get, chain.from_iterable(chain(x, ("",)) for x in lists), repeat(missing)), np.int64, int(ends[-1]))
             sums = np.stack([np.add.reduceat(x[at], ends[:-1]) for x in columns], axis=1)
             rare = [Counter([w for i in np.flatnonzero(at[a : a + len(x)] == missing).tolist() if (w := x[i]).isalpha() or any(map(str.isalpha, w))]) for x, a in zip(lists, ends.tolist(), strict=False)]
             n = np.add.reduceat((at != missing).astype(np.int64), ends[:-1]) + np.array([x.total() for x in rare], np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["trained"], pa.array(n), pa.array(list(sums), pa.list_(pa.float64())), pa.array([list(x) for x in rare], pa.list_(pa.string())), pa.array([list(x.values()) for x in rare], pa.list_(pa.int64()))], ["doc_id", "trained", "n", "sums", "rare", "rare_n"])
+            trained = b["trained"].to_pylist()
+            known = set(chain.from_iterable(x for x, t in zip(rare, trained, strict=True) if t))
+            words = list(dict.fromkeys(chain.from_iterable(rare)))
+            order, cuts = pt.dealt(words, parts)
+            asked, number = [], {}
+            for part, lo, hi in cuts:
+                some = [words[i] for i in order[lo:hi].tolist()]
+                fresh, rest = [w for w in some if w not in known], [w for w in some if w in known]
+                for w in chain(fresh, rest):
+                    number[w] = len(number)
+                asked.append({"part": part, "fresh": " ".join(fresh), "words": " ".join(rest)})
+            row = {
+                "doc_id": b["doc_id"].to_pylist(), "n": pt.pack(n), "sums": pt.pack(sums), "ends": pt.pack(np.cumsum([len(x) for x in rare])), "asked": asked,
+                "at": pt.pack(np.fromiter(map(number.__getitem__, chain.from_iterable(rare)), np.int32)), "times": pt.pack(np.fromiter(chain.from_iterable(x.values() for x in rare), np.int64)),
+            }
+            yield pa.RecordBatch.from_pylist([row], schema=_ROWS)
+
+    return run
+
+
+def _split(words: str | None) -> list[str]:
+    return words.split(" ") if words else []
+
+
+def _unseen(asked: pa.Table, table: pa.Table) -> pa.Table:
+    """The asked words of a part, each once, that its table lacks."""
+    known = set(_split(table["words"][0].as_py())) if len(table) else set()
+    return pa.table({"word": pa.array([w for w in dict.fromkeys(chain.from_iterable(map(_split, asked["fresh"].to_pylist()))) if w not in known], pa.string())})
+
+
+def _in_parts(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(pt.part_of(b["word"].to_pylist(), parts)), b["word"], pa.nulls(b.num_rows, pa.binary()), b["v"]], ["part", "words", "c", "v"])
+
+    return run
+
+
+_REPLY = pa.schema([("uid", pa.int64()), ("part", pa.int64()), ("c", pa.binary()), ("new", pa.binary()), ("v", pa.binary())])
+_REPLY_DDL = "uid long, part long, c binary, new binary, v binary"
+
+
+def _replied(n: int):
+    """For each question the counts of its words by language; for unseen words (new: their numbers) the vectors."""
+
+    def run(asked: pa.Table, table: pa.Table) -> pa.Table:
+        if not len(asked):
+            return _REPLY.empty_table()
+        words, counts, backoff = [], [np.zeros((0, n), np.int64)], {}
+        for w, c, v in zip(table["words"].to_pylist(), table["c"].to_pylist(), table["v"].to_pylist(), strict=True):
+            if c is None:
+                backoff[w] = v
+            else:
+                words += _split(w)
+                counts.append(pt.unpack(c, "i8").reshape(-1, n))
+        at = {w: i for i, w in enumerate(words)}
+        counts = np.concatenate((*counts, np.zeros((1, n), np.int64)))
+        out = []
+        for uid, part, fresh, rest in zip(asked["uid"].to_pylist(), asked["part"].to_pylist(), asked["fresh"].to_pylist(), asked["words"].to_pylist(), strict=True):
+            mine = _split(fresh) + _split(rest)
+            rows = np.fromiter(map(at.get, mine, repeat(len(words))), np.int64, len(mine))
+            new = [i for i in np.flatnonzero(rows == len(words)).tolist() if mine[i] in backoff]
+            out.append({"uid": uid, "part": part, "c": pt.pack(counts[rows]), "new": pt.pack(np.array(new, np.int32)), "v": pt.pack(np.array([backoff[mine[i]] for i in new], np.float64))})
+        return pa.Table.from_pylist(out, schema=_REPLY)
+
+    return run
+
+
+_PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+_PREDICTED_DDL = "doc_id long, lang_pred string, score double"
+
+
+def _decided(langs: list[str], size: np.ndarray):
+    """Languages and scores of the texts of a batch, from its row and the replies to it."""
+
+    def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        replies = replies.sort_by("part")
+        vectors = []
+        for c, new, v in zip(replies["c"].to_pylist(), replies["new"].to_pylist(), replies["v"].to_pylist(), strict=True):
+            counts = pt.unpack(c, "i8").reshape(-1, len(langs))
+            x = np.where(counts.any(axis=1)[:, None], np.log(counts + SMOOTHING) - size, 0.0)
+            x[pt.unpack(new, "i4")] = pt.unpack(v, "f8").reshape(-1, len(langs))
+            vectors.append(x)
+        vectors = np.concatenate(vectors) if vectors else np.zeros((0, len(langs)))
+        row = rows.to_pylist()[0]
+        totals, ends, at, times = pt.unpack(row["sums"], "f8").reshape(-1, len(langs)).copy(), pt.unpack(row["ends"], "i8"), pt.unpack(row["at"], "i4"), pt.unpack(row["times"], "i8")
+        if full := np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+            starts = np.concatenate(([0], ends[:-1]))[full]
+            totals[full] += np.add.reduceat(vectors[at] * times[:, None], starts)
+        best = totals.argmax(axis=1)
+        share = 1 / np.exp(totals - totals[np.arange(len(best)), best][:, None]).sum(axis=1)
+        some = pt.unpack(row["n"], "i8") > 0
+        return pa.table([pa.array(row["doc_id"], pa.int64()), pa.array([langs[i] if ok else UNDETERMINED for i, ok in zip(best.tolist(), some.tolist(), strict=True)]), pa.array(np.where(some, share, 0.0))], schema=_PREDICTED)
 
     return run
 
@@ -256,22 +423,17 @@ def _parts(shared):
     return run
 
 
-def _vectors(counts: DataFrame, keys: list[str], fitted: Fitted, n=None) -> DataFrame:
-    """keys and v0, v1, ...: log frequencies by language; n: length of the n-gram, none for words."""
-    size = lambda i: F.lit(float(fitted.sizes[0, i])) if n is None else F.element_at(F.array(*[F.lit(float(x)) for x in fitted.sizes[1:, i]]), n)
-    return counts.select(*keys, *[(F.ln(F.col("c")[i] + SMOOTHING) - size(i)).alias(f"v{i}") for i in range(len(fitted.model.langs))])
-
-
-def unseen_vectors(asked: DataFrame, fitted: Fitted, shared: Shared) -> DataFrame:
-    """word and v0, v1, ... by n-grams of the words (each once) that are not trained, stored; those of which nothing is known are left out."""
-    v = [f"v{i}" for i in range(len(fitted.model.langs))]
-    unseen = asked.join(fitted.words.select("word"), "word", "left_anti")
+def unseen_vectors(unseen: DataFrame, fitted: Fitted, shared: Shared) -> DataFrame:
+    """word and v, its vector by its n-grams, of words (each once) that are not trained, stored; those of which nothing is known are left out."""
+    langs = range(len(fitted.model.langs))
+    size = lambda i: F.element_at(F.array(*[F.lit(float(x)) for x in fitted.sizes[1:, i]]), F.col("n"))
+    known = fitted.grams.select("n", "gram", *[(F.ln(F.col("c")[i] + SMOOTHING) - size(i)).alias(f"v{i}") for i in langs])
     parts = stored(unseen.mapInArrow(_parts(shared), "word string, n int, k long, sums array<double>, rare array<string>"), "lang-unseen")
-    rare = parts.select("word", "n", F.explode("rare").alias("gram")).join(_vectors(fitted.grams, ["n", "gram"], fitted, F.col("n")), ["n", "gram"])
-    more = rare.groupBy("word", "n").agg(F.count("*").alias("m"), *[F.sum(x).alias(x) for x in v])
+    rare = parts.select("word", "n", F.explode("rare").alias("gram")).join(known, ["n", "gram"])
+    more = rare.groupBy("word", "n").agg(F.count("*").alias("m"), *[F.sum(f"v{i}").alias(f"v{i}") for i in langs])
     k = F.col("k") + F.coalesce("m", F.lit(0))
-    means = parts.join(more, ["word", "n"], "left").where(k > 0).select("word", "n", *[((F.col("sums")[i] + F.coalesce(x, F.lit(0.0))) / k).alias(x) for i, x in enumerate(v)])
-    return stored(means.groupBy("word").agg(F.max_by(F.struct(*v), "n").alias("x")).select("word", "x.*"), "lang-backoff")
+    means = parts.join(more, ["word", "n"], "left").where(k > 0).select("word", "n", F.array(*[(F.col("sums")[i] + F.coalesce(f"v{i}", F.lit(0.0))) / k for i in langs]).alias("v"))
+    return stored(means.groupBy("word").agg(F.max_by("v", "n").alias("v")), "lang-backoff")
 
 
 def _accepted(shared):
@@ -297,15 +459,14 @@ def predict(docs: DataFrame, fitted: Fitted, trained: Column | None = None) -> D
         return docs.select(F.col("doc_id").cast("long"), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = Shared(docs.sparkSession, fitted.model)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.lit(False) if trained is None else trained, F.lit(False)).alias("trained"))
-    rows = stored(row_ids(source.mapInArrow(_looked_up(shared), "doc_id long, trained boolean, n long, sums array<double>, rare array<string>, rare_n array<long>")), "lang-rows")
-    unseen = unseen_vectors(rows.where("NOT trained").select(F.explode("rare").alias("word")).distinct(), fitted, shared)
-    rare = rows.select("uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("times"))
-    vectors = _vectors(fitted.words, ["word"], fitted).unionByName(unseen)
-    more = rare.join(vectors, "word").groupBy("uid").agg(*[F.sum(F.col("times") * F.col(f"v{i}")).alias(f"v{i}") for i in range(len(langs))])
-    totals = rows.join(more, "uid", "left").select("doc_id", "n", F.array(*[F.col("sums")[i] + F.coalesce(f"v{i}", F.lit(0.0)) for i in range(len(langs))]).alias("t")).withColumn("best", F.array_max("t"))
-    share = 1 / F.aggregate("t", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("best")))
-    name = F.element_at(F.array(*map(F.lit, langs)), F.array_position("t", F.col("best")).cast("int"))
-    return totals.select("doc_id", F.when(F.col("n") > 0, name).otherwise(UNDETERMINED).alias("lang_pred"), F.when(F.col("n") > 0, share).otherwise(0.0).alias("score"))
+    rows = stored(row_ids(source.mapInArrow(_looked_up(shared, fitted.parts), _ROWS_DDL)), "lang-rows")
+    asked = rows.select("uid", F.explode("asked").alias("x")).select("uid", "x.*")
+    by_part = fitted.words.select("part", "words").groupBy("part")
+    unseen = asked.where("fresh <> ''").select("part", "fresh").groupBy("part").cogroup(by_part).applyInArrow(_unseen, "word string")
+    backoff = unseen_vectors(unseen, fitted, shared)
+    table = fitted.words.select("part", "words", "c", F.lit(None).cast("array<double>").alias("v")).unionByName(backoff.mapInArrow(_in_parts(fitted.parts), "part long, words string, c binary, v array<double>"))
+    replies = asked.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(_replied(len(langs)), _REPLY_DDL)
+    return rows.drop("asked").groupBy("uid").cogroup(replies.groupBy("uid")).applyInArrow(_decided(langs, fitted.sizes[0]), _PREDICTED_DDL)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
