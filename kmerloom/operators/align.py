@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,7 +170,7 @@ def align(graph: KmerGraph, queries: DataFrame, scoring: cg.Scoring | None = Non
     are gathered and the query is extended anew, so the result is that over the whole graph. With ``steps``,
     only nodes within so many steps are met, and walks end there.
     """
-    scoring = scoring or cg.Scoring()
+    scoring = scoring or cg.Scoring.of(graph.alphabet.name)
     k = graph.k
     queries = queries.select("query_id", graph.alphabet.normalise("seq").alias("seq"))
     runs = exact_seeds(graph, queries, min_match)
@@ -223,29 +224,34 @@ def align_both_strands(graph: KmerGraph, queries: DataFrame, **options) -> DataF
     return plus.unionByName(minus).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
-def chain(seeds: DataFrame, gap: float = 0.05, bandwidth: int = 65) -> DataFrame:
-    """query_id, label, score and chain: the best colinear chain of seeds (query_id, label, pos, coord, length).
+def chain(seeds: DataFrame, min_seed_length: int = 19, bandwidth: int = 65) -> DataFrame:
+    """query_id, label, score and chain: the best colinear chain of seeds (query_id, label, pos, coord, length, and query_length).
 
-    A seed adds its letters that the one before does not cover, less a charge for the difference of their distances in query and label.
+    A seed adds its letters before the next one's start, by query and by label; where the two distances differ by
+    d, 0.01 * min_seed_length * d + 0.5 * log2(d + 1) is charged. Neighbours in a chain are less than a query
+    apart and at most ``bandwidth`` seeds from each other, by coordinate.
     """
 
     def best(key, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["coord", "pos"]).reset_index(drop=True)
-        p, c, n = (f[x].tolist() for x in ("pos", "coord", "length"))
-        score, back = list(map(float, n)), [-1] * len(p)
+        f = f.sort_values(["coord", "pos"], ascending=False)
+        p, c, n = (f[x].to_numpy(np.int64) for x in ("pos", "coord", "length"))
+        size = int(f["query_length"].iloc[0])
+        score, after = n.astype(float), np.full(len(p), -1)
         for i in range(len(p)):
-            for j in range(i - 1, max(-1, i - bandwidth - 1), -1):
-                dq, dc = p[i] - p[j], c[i] - c[j]
-                if dq > 0 and dc > 0:
-                    s = score[j] + min(n[i], dq, dc) - gap * abs(dq - dc)
-                    if s > score[i]:
-                        score[i], back[i] = s, j
-        i = max(range(len(p)), key=lambda x: (score[x], -x))
-        total, members = score[i], []
+            j = slice(max(0, i - bandwidth + 1), i)
+            dq, dc = p[j] - p[i], c[j] - c[i]
+            d = np.abs(dq - dc)
+            s = score[j] + np.minimum(np.minimum(dq, dc), n[i]) - 0.01 * min_seed_length * d - 0.5 * np.log2(d + 1)
+            s[(dq <= 0) | (np.maximum(dq, dc) >= size)] = -np.inf
+            if len(s) and s.max() > score[i]:
+                after[i] = j.start + int(s.argmax())
+                score[i] = s.max()
+        i = int(score.argmax())
+        total, members = float(score[i]), []
         while i >= 0:
             members.append(f"{p[i]}@{c[i]}+{n[i]}")
-            i = back[i]
-        return pd.DataFrame([(key[0], key[1], total, ",".join(reversed(members)))], columns=["query_id", "label", "score", "chain"])
+            i = int(after[i])
+        return pd.DataFrame([(key[0], key[1], total, ",".join(members))], columns=["query_id", "label", "score", "chain"])
 
     return seeds.groupBy("query_id", "label").applyInPandas(best, "query_id long, label string, score double, chain string")
 

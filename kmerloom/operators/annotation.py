@@ -49,7 +49,8 @@ def starts(sequences: DataFrame, k: int, by: str, order: str, seq: str = "seq")
 def annotate_coords(sequences: DataFrame, k: int, label: str = "label", order: str = "seq_id", seq: str = "seq", per_sequence: bool = False, alphabet: Alphabet = PROTEIN, only: DataFrame | None = None) -> DataFrame:
     """kmer, label, coords: sorted offsets that run over the sequences of a label, or restart with each.
 
-    Only the small columns go through the window; the texts are joined to their starts.
+    Only the small columns go through the window; the texts are joined to their starts. ``order`` numbers the
+    sequences of a label; other labels may use the same numbers.
     """
     if per_sequence:
         source = sequences.withColumn("start", F.lit(0).cast("long"))
@@ -57,7 +58,7 @@ def annotate_coords(sequences: DataFrame, k: int, label: str = "label", order: s
         small = sequences.select(order, label, F.char_length(seq).alias("_len"))
         n = F.greatest(F.col("_len") - (k - 1), F.lit(0)).cast("long")
         w = Window.partitionBy(label).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        source = sequences.join(small.select(order, F.coalesce(F.sum(n).over(w), F.lit(0).cast("long")).alias("start")), order)
+        source = sequences.join(small.select(order, label, F.coalesce(F.sum(n).over(w), F.lit(0).cast("long")).alias("start")), [order, label])
     found = explode_kmers(source, seq, k, [label, "start"], alphabet)
     if only is not None:
         found = found.join(only, "kmer", "left_semi")

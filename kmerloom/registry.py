@@ -368,7 +368,7 @@ def aln_chain(s, d):
     spots = annotation.annotate_coords(rows, K, only=windows.select("kmer").distinct()).select("kmer", "label", F.explode("coords").alias("coord"))
     runs = fmt.islands(windows.join(spots, "kmer").select("query_id", "label", "pos", (F.col("coord") - F.col("pos")).alias("diagonal")), ["query_id", "label"], "pos", "diagonal")
     seeds = runs.select("query_id", "label", F.col("first").alias("pos"), (F.col("first") + F.col("diagonal")).alias("coord"), (F.col("last") - F.col("first") + K).alias("length"))
-    return align.chain(seeds)
+    return align.chain(seeds.join(queries.select("query_id", F.char_length("seq").cast("long").alias("query_length")), "query_id"))
 
 
 # -- statistics, taxonomy

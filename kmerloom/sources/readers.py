@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEQUENCE = "file string, seq_no long, name string, comment string, seq string"
+# File extensions and the formats that they stand for.
 _KINDS = {"fasta": "fasta", "fa": "fasta", "fas": "fasta", "ffn": "fasta", "fna": "fasta", "faa": "fasta", "fastq": "fastq", "fq": "fastq", "vcf": "vcf", "kmc_pre": "kmc", "kmc_suf": "kmc", "tsv": "counts", "parquet": "parquet"}
 
 
@@ -21,33 +22,44 @@ def file_format(path: str) -> str:
     return _KINDS.get(name.rpartition(".")[2], "fasta")
 
 
-def _records(spark: SparkSession, path: str | list[str], mark: str) -> DataFrame:
-    """file, at (place in the file) and value of the parts that begin with ``mark`` at a line's start."""
-    df = spark.read.option("lineSep", f"\n{mark}").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
-    return df.select("file", "at", F.regexp_replace("value", f"^{mark}", "").alias("value")).where(F.trim(F.translate("value", "\r\n", "")) != "")
+def _numbered(df: DataFrame, out: str = "n") -> DataFrame:
+    """df (file, at, part: its partition; at: monotonically_increasing_id) with the number of each row in its file, from 0.
+
+    Rows are counted by file and partition, and only these counts are summed up in order, so no task sees a whole file.
+    """
+    sizes = df.groupBy("file", "part").agg(F.count("*").alias("_m"), F.min("at").alias("_first"))
+    before = sizes.selectExpr("file", "part", "_first", "sum(_m) OVER (PARTITION BY file ORDER BY part) - _m AS _before")
+    return df.join(before, ["file", "part"]).withColumn(out, F.col("_before") + F.col("at") - F.col("_first")).drop("_before", "_first")
+
+
+def _pieces(spark: SparkSession, path: str | list[str], separator: str | None) -> DataFrame:
+    """file, part, at and value of the parts of text files; the same each time, as splits follow the files' sizes."""
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), "value")
 
 
 def _named(df: DataFrame, header: Column, seq: Column) -> DataFrame:
-    """Numbers records within their file, by place."""
-    out = df.select("file", "at", F.regexp_extract(header, r"^(\S*)", 1).alias("name"), F.trim(F.regexp_replace(header, r"^\S*", "")).alias("comment"), seq.alias("seq"))
-    return out.selectExpr("file", "row_number() OVER (PARTITION BY file ORDER BY at) - 1L AS seq_no", "name", "comment", "seq").select("file", F.col("seq_no").cast("long"), "name", "comment", "seq")
+    return df.select("file", F.col("n").cast("long").alias("seq_no"), F.regexp_extract(header, r"^(\S*)", 1).alias("name"), F.trim(F.regexp_replace(header, r"^\S*", "")).alias("comment"), seq.alias("seq"))
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    parts = _records(spark, path, ">")
-    clean = F.translate("value", "\r", "")
+    """Records begin with ``>`` at a line's start; large files are read in parts."""
+    parts = _numbered(_pieces(spark, path, "\n>")).where(F.trim(F.translate(F.regexp_replace("value", "^>", ""), "\r\n", "")) != "")
+    clean = F.translate(F.regexp_replace("value", "^>", ""), "\r", "")
     return _named(parts, F.substring_index(clean, "\n", 1), F.translate(F.regexp_replace(clean, r"^[^\n]*", ""), "\n \t", ""))
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Records of four lines; qualities are not kept.
+    """Records of four lines (@header, sequence, + with or without the name, quality of the same length); qualities are not kept.
 
-    Files are split where a line is a bare ``+``: what comes before it ends with a record's name and sequence, so
-    large files are read in parts. Lines end with a bare newline.
+    Lines are numbered in their file, whatever ends them, and four make a record. Anything else is an error; empty lines may follow the last record.
     """
-    parts = spark.read.option("lineSep", "\n+\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.split("value", "\n").alias("f"))
-    records = parts.where("size(f) >= 2 AND f[size(f) - 2] LIKE '@%'")
-    return _named(records, F.substring(F.element_at("f", -2), 2, 1 << 30), F.element_at("f", -1))
+    lines = _numbered(_pieces(spark, path, None), "line")
+    four = lines.select("file", F.expr("line div 4").alias("n"), (F.col("line") % 4).alias("i"), "value").groupBy("file", "n").agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(x) for i, x in enumerate(("header", "seq", "plus", "quality"))])
+    good = F.startswith("header", F.lit("@")) & F.startswith("plus", F.lit("+")) & (F.char_length("seq") == F.char_length("quality"))
+    records = four.where("coalesce(header, '') <> '' OR coalesce(seq, '') <> '' OR coalesce(plus, '') <> '' OR coalesce(quality, '') <> ''")
+    checked = records.withColumn("seq", F.when(F.coalesce(good, F.lit(False)), F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("malformed FASTQ record "), F.col("n").cast("string"), F.lit(" in "), F.col("file")))))
+    return _named(checked, F.expr("substring(header, 2)"), F.col("seq"))
 
 
 def read_string(spark: SparkSession, text: str) -> DataFrame:
@@ -98,24 +110,29 @@ def count_runs(seqs: DataFrame, k: int) -> DataFrame:
     return runs.select("seq_no", "piece", F.substring("seq", F.col("piece") + 1, F.col("n") + (k - 1)).alias("seq"), "count")
 
 
-def read_vcf(spark: SparkSession, path: str, reference: DataFrame, k: int) -> DataFrame:
-    """seq and labels of each passing allele: k - 1 letters of the reference before and after it.
+def read_vcf(spark: SparkSession, path: str | list[str], reference: DataFrame, k: int, info: list[str] | None = None) -> DataFrame:
+    """seq and labels of each passing allele: k letters of the reference before and after it.
 
-    reference: name and seq. ``<CNn>`` repeats the reference allele n times, other symbolic alleles go. Labels are
-    the contig, flags of INFO, and the samples that carry the allele.
+    reference: name and seq. ``<CNn>`` repeats the reference allele n times, other symbolic alleles go. Labels are the
+    contig, the entries of ``info`` that are set (a flag, or a value but 0; all flags if not given), and the samples
+    of the file's own header that carry the allele.
     """
-    lines = spark.read.text(path)
-    names = lines.where("value LIKE '#CHROM%'").select(F.slice(F.split("value", "\t"), 10, 1 << 20).alias("samples")).limit(1)
-    f = lines.where("value NOT LIKE '#%' AND value <> ''").select(F.split("value", "\t").alias("f"))
-    rows = f.crossJoin(F.broadcast(names)).where("f[6] IN ('PASS', '.')")  # one row of sample names
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    names = lines.where("value LIKE '#CHROM%'").select("file", F.slice(F.split("value", "\t"), 10, 1 << 20).alias("samples"))
+    rows = lines.where("value NOT LIKE '#%' AND value <> ''").select("file", F.split("value", "\t").alias("f")).where("f[6] IN ('PASS', '.')").join(names, "file")
     alleles = rows.select(F.col("f")[0].alias("contig"), F.col("f")[1].cast("int").alias("at"), F.col("f")[3].alias("ref"), F.posexplode(F.split(F.col("f")[4], ",")).alias("i", "alt"), F.col("f")[7].alias("info"), F.slice("f", 10, 1 << 20).alias("calls"), "samples")
     copies = F.regexp_extract("alt", r"^<CN(\d+)>$", 1)
     alleles = alleles.withColumn("allele", F.when(copies != "", F.repeat("ref", copies.try_cast("int"))).when(~F.startswith("alt", F.lit("<")), F.col("alt"))).where("allele IS NOT NULL")
     carriers = F.transform(F.filter(F.arrays_zip(F.col("samples").alias("name"), F.col("calls").alias("call")), lambda x: F.array_contains(F.split(F.split(x["call"], ":")[0], "[/|]"), (F.col("i") + 1).cast("string"))), lambda x: x["name"])
-    flags = F.filter(F.split("info", ";"), lambda x: ~F.contains(x, F.lit("=")) & (x != "."))
+    entries = F.filter(F.split("info", ";"), lambda x: x != ".")
+    if info is None:
+        flags = F.filter(entries, lambda x: ~F.contains(x, F.lit("=")))
+    else:
+        asked = F.array(*map(F.lit, info)).cast("array<string>")
+        flags = F.filter(asked, lambda x: F.exists(entries, lambda e: (e == x) | (F.startswith(e, F.concat(x, F.lit("="))) & (e != F.concat(x, F.lit("=0"))))))
     joined = alleles.join(reference.select(F.col("name").alias("contig"), F.col("seq").alias("_ref")), "contig")
-    before = F.substring("_ref", F.greatest(F.col("at") - (k - 1), F.lit(1)), F.least(F.col("at") - 1, F.lit(k - 1)))
-    after = F.substring("_ref", F.col("at") + F.char_length("ref"), F.lit(k - 1))
+    before = F.substring("_ref", F.greatest(F.col("at") - k, F.lit(1)), F.least(F.col("at") - 1, F.lit(k)))
+    after = F.substring("_ref", F.col("at") + F.char_length("ref"), F.lit(k))
     return joined.select("contig", "at", F.concat(before, "allele", after).alias("seq"), F.concat(F.array("contig"), flags, carriers).alias("labels"))
 
 
@@ -130,7 +147,7 @@ def read_counts(spark: SparkSession, path: str, least: int = 1, most: int | None
     return df
 
 
-def read_sequences(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+def read_sequences(spark: SparkSession, path: str | list[str], kind: str | None = None) -> DataFrame:
     """FASTA, FASTQ or Parquet, by extension unless said."""
     kind = kind or file_format(path)
     readers = {"fasta": read_fasta, "fastq": read_fastq, "parquet": lambda s, p: s.read.parquet(p)}
@@ -140,10 +157,13 @@ def read_sequences(spark: SparkSession, path: str, kind: str | None = None) -> D
 
 
 def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The sequences of a list of files, of any of the formats."""
-    out = None
+    """The sequences of a list of files, of any of the formats; one read for each format."""
+    kinds: dict[str, list[str]] = {}
     for p in paths:
-        df = read_sequences(spark, p)
+        kinds.setdefault(file_format(p), []).append(p)
+    out = None
+    for kind, some in kinds.items():
+        df = spark.read.parquet(*some) if kind == "parquet" else read_sequences(spark, some, kind)
         out = df if out is None else out.unionByName(df)
     return out
 

@@ -20,6 +20,7 @@ from kmerloom.plans.workflow import build_index
 from kmerloom.sources import readers, writers
 from kmerloom.streaming import incremental
 
+# Three short sequences and a query, with the counts that they are known to give.
 THREE = [("seq1", "TATCGATC"), ("seq2", "GTATCGATCGATCGATCG"), ("seq3", "ATCGATCG")]
 ASKED = "TATCGATCGATCGATCG"
 
@@ -219,8 +220,61 @@ def test_alignment_goes_on_within_its_drop(spark):
 
 
 def test_chain(spark):
-    seeds = spark.createDataFrame([(0, "a", 0, 10, 5), (0, "a", 8, 18, 5), (0, "a", 3, 50, 4)], "query_id long, label string, pos long, coord long, length long")
+    schema = "query_id long, label string, pos long, coord long, length long, query_length long"
+    seeds = spark.createDataFrame([(0, "a", 0, 10, 5, 60), (0, "a", 8, 18, 5, 60), (0, "a", 3, 50, 4, 60)], schema)
     assert align.chain(seeds).first().asDict() == {"query_id": 0, "label": "a", "score": 10.0, "chain": "0@10+5,8@18+5"}
+    gap = align.chain(spark.createDataFrame([(0, "a", 0, 10, 5, 60), (0, "a", 8, 21, 5, 60)], schema)).first()
+    assert gap.score == pytest.approx(10 - 0.19 * 3 - 0.5 * 2) and gap.chain == "0@10+5,8@21+5"
+    apart = align.chain(spark.createDataFrame([(0, "a", 0, 10, 5, 20), (0, "a", 8, 40, 5, 20)], schema)).first()
+    assert apart.score == 5.0  # farther apart than the query is long
+
+
+def test_protein_alignment(spark):
+    g = KmerGraph.build(seqs(spark, "QWERTYIPASDFGHKLCVNM"), 4)
+    got = {x.query_id: x for x in align.align(g, spark.createDataFrame([(0, "QWERTYIPASDFGHKLCVNM"), (1, "QWERTYIPAWDFGHKLCVNM")], "query_id long, seq string")).collect()}
+    own = cg.protein_matrix()
+    whole = sum(own[c, c] for c in "QWERTYIPASDFGHKLCVNM")
+    assert (got[0].cigar, got[0].score) == ("20=", whole + 10) and (got[1].cigar, got[1].score) == ("9=1X10=", whole + 10 - own["S", "S"] + own["S", "W"])
+    assert own["B", "N"] == 3 and own["X", "X"] == -1 and own["J", "J"] == 1 and all(own[a, b] == own[b, a] for a, b in own)
+    with pytest.raises(ValueError, match="no score"):
+        cg.Scoring().pair("A", "Q")
+
+
+def test_fastq_forms(spark, tmp_path):
+    forms = {"name": "@r1 x\nACG\n+r1 x\nIII\n@r2\nTT\n+r2\n@I\n", "crlf": "@r1 x\r\nACG\r\n+\r\nIII\r\n@r2\r\nTT\r\n+\r\n@I\r\n", "blank": "@r1 x\nACG\n+\nIII\n@r2\nTT\n+\n@I\n\n\n"}
+    for name, text in forms.items():
+        (tmp_path / f"{name}.fq").write_bytes(text.encode())
+        assert sorted((x.seq_no, x.name, x.comment, x.seq) for x in readers.read_fastq(spark, str(tmp_path / f"{name}.fq")).collect()) == [(0, "r1", "x", "ACG"), (1, "r2", "", "TT")], name
+    for name, text in {"short": "@r1\nACG\n+\nII\n", "cut": "@r1\nACG\n+\n", "mark": "r1\nACG\n+\nIII\n"}.items():
+        (tmp_path / f"{name}.fq").write_text(text)
+        with pytest.raises(Exception, match="malformed FASTQ"):
+            readers.read_fastq(spark, str(tmp_path / f"{name}.fq")).collect()
+
+
+def test_numbers_of_records_in_split_files(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        (tmp_path / "a.fa").write_text("".join(f">n{i}\n{'ACGT' * 5}\n" for i in range(200)))
+        (tmp_path / "a.fq").write_text("".join(f"@n{i}\nACGT\n+\nIIII\n" for i in range(200)))
+        for read in (readers.read_fasta, readers.read_fastq):
+            name = str(tmp_path / ("a.fa" if read is readers.read_fasta else "a.fq"))
+            assert sorted((x.seq_no, x.name) for x in read(spark, name).collect()) == [(i, f"n{i}") for i in range(200)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_coordinates_of_labels_with_equal_numbers(spark):
+    df = spark.createDataFrame([("A", 0, "ACGT"), ("B", 0, "ACGT")], "label string, seq_id long, seq string")
+    assert sorted((x.label, x.kmer, x.coords) for x in annotation.annotate_coords(df, 4, alphabet=DNA).collect()) == [("A", "ACGT", [0]), ("B", "ACGT", [0])]
+
+
+def test_variants_of_several_files(spark, tmp_path):
+    head = "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    (tmp_path / "a.vcf").write_text(head + "A\n1\t4\t.\tT\tG\t.\tPASS\tF;N=0;M=2\tGT\t0|1\n")
+    (tmp_path / "b.vcf").write_text(head + "B\n1\t4\t.\tT\tC\t.\tPASS\tQ\tGT\t1|1\n")
+    ref = spark.createDataFrame([("1", "ACGTACG")], "name string, seq string")
+    got = readers.read_vcf(spark, [str(tmp_path / "a.vcf"), str(tmp_path / "b.vcf")], ref, 2, ["F", "N", "M"]).collect()
+    assert {(x.seq, tuple(x.labels)) for x in got} == {("CGGAC", ("1", "F", "M", "A")), ("CGCAC", ("1", "B"))}
 
 
 def test_files(spark, tmp_path):
@@ -241,7 +295,7 @@ def test_files(spark, tmp_path):
     assert {(x.piece, x.seq, x["count"]) for x in runs} == {(0, "ACGT", 7), (2, "GTA", 9)}
     (tmp_path / "v.vcf").write_text("##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\n1\t4\t.\tT\tG,<CN2>\t.\tPASS\tFLAG;AF=1\tGT\t0|1\t2|0\n1\t5\t.\tA\tC\t.\tq10\t.\tGT\t0|1\t0|0\n")
     got = readers.read_vcf(spark, str(tmp_path / "v.vcf"), spark.createDataFrame([("1", "ACGTACG")], "name string, seq string"), 3).collect()
-    assert {(x.seq, tuple(x.labels)) for x in got} == {("CGGAC", ("1", "FLAG", "A")), ("CGTTAC", ("1", "FLAG", "B"))}
+    assert {(x.seq, tuple(x.labels)) for x in got} == {("ACGGACG", ("1", "FLAG", "A")), ("ACGTTACG", ("1", "FLAG", "B"))}
     (tmp_path / "n.dmp").write_text("1\t|\t1\t|\tno rank\t|\n2\t|\t1\t|\tkingdom\t|\n3\t|\t2\t|\tgenus\t|\n4\t|\t1\t|\tgenus\t|\n")
     closure = taxonomy.ancestors(readers.read_taxonomy(spark, str(tmp_path / "n.dmp")))
     assert {x.node: x.depth for x in taxonomy.depths(closure).collect()} == {1: 3, 2: 2, 3: 1, 4: 1}
