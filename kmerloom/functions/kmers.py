@@ -29,6 +29,20 @@ def explode_kmers(df: DataFrame, seq: str, k: int, keep: list[str], alphabet: Al
     return out.where(~F.contains("kmer", F.lit(BREAK))) if alphabet.unknown == BREAK else out
 
 
+_DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def fits_code(k: int, alphabet: Alphabet) -> bool:
+    """Whether k letters are a number of 63 bits."""
+    return len(alphabet.letters) <= len(_DIGITS) and len(alphabet.letters) ** k <= 1 << 63
+
+
+def code(kmer: Column | str, alphabet: Alphabet) -> Column:
+    """The k-mer as a number in base of its alphabet's letters; k-mers of one length keep their order."""
+    n = len(alphabet.letters)
+    return F.conv(F.translate(kmer, alphabet.letters, _DIGITS[:n]), n, 10).cast("long")
+
+
 def canonical(kmer: Column | str, alphabet: Alphabet) -> Column:
     return F.least(kmer, alphabet.reverse_complement(kmer))
 

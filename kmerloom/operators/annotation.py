@@ -46,19 +46,21 @@ def starts(sequences: DataFrame, k: int, by: str, order: str, seq: str = "seq")
     return sequences.withColumn("n_kmers", n).withColumn("start", F.coalesce(F.sum("n_kmers").over(w), F.lit(0).cast("long")))
 
 
+def placed(sequences: DataFrame, k: int, label: str = "label", order: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """sequences with start, the k-mers of the sequences before them in their label."""
+    small = sequences.select(order, label, F.char_length(seq).alias("_len"))
+    n = F.greatest(F.col("_len") - (k - 1), F.lit(0)).cast("long")
+    w = Window.partitionBy(label).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return sequences.join(small.select(order, label, F.coalesce(F.sum(n).over(w), F.lit(0).cast("long")).alias("start")), [order, label])
+
+
 def annotate_coords(sequences: DataFrame, k: int, label: str = "label", order: str = "seq_id", seq: str = "seq", per_sequence: bool = False, alphabet: Alphabet = PROTEIN, only: DataFrame | None = None) -> DataFrame:
     """kmer, label, coords: sorted offsets that run over the sequences of a label, or restart with each.
 
     Only the small columns go through the window; the texts are joined to their starts. ``order`` numbers the
     sequences of a label; other labels may use the same numbers.
     """
-    if per_sequence:
-        source = sequences.withColumn("start", F.lit(0).cast("long"))
-    else:
-        small = sequences.select(order, label, F.char_length(seq).alias("_len"))
-        n = F.greatest(F.col("_len") - (k - 1), F.lit(0)).cast("long")
-        w = Window.partitionBy(label).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        source = sequences.join(small.select(order, label, F.coalesce(F.sum(n).over(w), F.lit(0).cast("long")).alias("start")), [order, label])
+    source = sequences.withColumn("start", F.lit(0).cast("long")) if per_sequence else placed(sequences, k, label, order, seq)
     found = explode_kmers(source, seq, k, [label, "start"], alphabet)
     if only is not None:
         found = found.join(only, "kmer", "left_semi")
@@ -121,3 +123,29 @@ def sum_rows(anno: DataFrame, rows: DataFrame, min_count: int = 1) -> DataFrame:
     hits = anno.join(rows, "kmer")
     values = [F.sum(F.col("count") * F.col("n")).alias("value_sum")] if "count" in anno.columns else []
     return hits.groupBy("label").agg(F.sum("n").alias("matches"), *values).where(F.col("matches") >= min_count)
+
+
+def encoded(anno: DataFrame, ids: DataFrame) -> DataFrame:
+    """kmer and label_id."""
+    return anno.join(ids, "label").drop("label")
+
+
+def decoded(anno: DataFrame, ids: DataFrame) -> DataFrame:
+    """kmer, label_id and label."""
+    return anno.join(ids, "label_id")
+
+
+def exists(anno: DataFrame, labels: DataFrame) -> DataFrame:
+    """label and whether the annotation has it."""
+    known = anno.select("label").distinct().withColumn("exists", F.lit(True))
+    return labels.join(known, "label", "left").select("label", F.coalesce("exists", F.lit(False)).alias("exists"))
+
+
+def rows_for(graph: KmerGraph, anno: DataFrame) -> DataFrame:
+    """kmer and n_labels for every k-mer of a graph, 0 for those that were added after the annotation."""
+    return graph.kmers.select("kmer").join(anno.select("kmer", "label"), "kmer", "left").groupBy("kmer").agg(F.count("label").alias("n_labels"))
+
+
+def distinct_rows(anno: DataFrame, kmers: DataFrame) -> DataFrame:
+    """labels and n_rows of the distinct rows among those of some k-mers."""
+    return labels_of(anno, kmers).groupBy("labels").agg(F.count("*").alias("n_rows"))

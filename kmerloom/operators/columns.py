@@ -28,9 +28,16 @@ def aggregate(anno: DataFrame, least: int = 1, most: int | None = None, min_valu
 
 
 def overlap(base: DataFrame, other: DataFrame, min_count: int = 1) -> DataFrame:
-    """label_a (of base), label_b and shared: k-mers in both columns. A k-mer's pairs are as many as its labels, not rows, allow."""
-    a, b = base.select("kmer", F.col("label").alias("label_a")), other.select("kmer", F.col("label").alias("label_b"))
-    return a.join(b, "kmer").groupBy("label_a", "label_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_count)
+    """label_a (of base), label_b and shared: k-mers in both columns.
+
+    k-mers with the same two sets of labels are counted together first, so pairs of labels are made once
+    for each pair of sets, not for each k-mer.
+    """
+    a = base.groupBy("kmer").agg(F.sort_array(F.collect_set("label")).alias("a"))
+    b = other.groupBy("kmer").agg(F.sort_array(F.collect_set("label")).alias("b"))
+    sets = a.join(b, "kmer").groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = sets.select("n", "b", F.explode("a").alias("label_a")).select("n", "label_a", F.explode("b").alias("label_b"))
+    return pairs.groupBy("label_a", "label_b").agg(F.sum("n").alias("shared")).where(F.col("shared") >= min_count)
 
 
 def similarity(anno: DataFrame) -> DataFrame:
@@ -106,3 +113,39 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("kmer").exceptAll(b.select("kmer")).distinct()
+
+
+def colours(anno: DataFrame) -> DataFrame:
+    """kmer and colour: a number for each distinct set of labels."""
+    from .ranks import with_ranks
+
+    sets = anno.groupBy("kmer").agg(F.to_json(F.sort_array(F.collect_set("label"))).alias("labels"))
+    return with_ranks(sets, "labels", "colour").select("kmer", "colour", "labels")
+
+
+def row_diff(anno: DataFrame, edges: DataFrame) -> DataFrame:
+    """kmer, next and label: the rows as differences from that of a successor (the least greater one), an anchor's (next null) as it is.
+
+    A label is in the difference where one of both rows has it. As successors are greater, no path turns back.
+    """
+    follow = edges.where("target > source").groupBy(F.col("source").alias("kmer")).agg(F.min("target").alias("next"))
+    rows = anno.select("kmer", "label").distinct()
+    linked = rows.select("kmer").distinct().join(follow, "kmer", "left").join(rows.select(F.col("kmer").alias("next")).distinct().withColumn("there", F.lit(True)), "next", "left")
+    linked = linked.select("kmer", F.when(F.col("there"), F.col("next")).alias("next"))
+    own = linked.join(rows, "kmer").select("kmer", "next", "label")
+    other = linked.where("next IS NOT NULL").join(rows.select(F.col("kmer").alias("next"), "label"), "next").select("kmer", "next", "label")
+    both = own.unionByName(other).groupBy("kmer", "next", "label").count().where("count = 1").drop("count")
+    return linked.join(both.select("kmer", "label"), "kmer", "left").select("kmer", "next", "label")
+
+
+def from_row_diff(diff: DataFrame) -> DataFrame:
+    """kmer and label: a row is the labels that an odd number of the rows on its way to an anchor has; ways are doubled a round."""
+    from ..plans.storage import stored
+
+    now = stored(diff.select("kmer", F.col("next").alias("ptr")).distinct(), "ways")
+    sums = stored(diff.where("label IS NOT NULL").select("kmer", "label"), "sums")
+    while not now.where("ptr IS NOT NULL").isEmpty():
+        further = now.select("kmer", "ptr").join(sums.select(F.col("kmer").alias("ptr"), "label"), "ptr").select("kmer", "label")
+        sums = stored(sums.unionByName(further).groupBy("kmer", "label").count().where("count % 2 = 1").drop("count"), "sums")
+        now = stored(now.join(now.select(F.col("kmer").alias("ptr"), F.col("ptr").alias("far")), "ptr", "left").select("kmer", F.col("far").alias("ptr")), "ways")
+    return sums

@@ -42,6 +42,12 @@ def _spelled(chains: DataFrame, k: int) -> DataFrame:
     return chains.groupBy("head").agg(letters.alias("_l"), F.count("*").alias("n_kmers")).select("head", F.concat(F.left("head", F.lit(k - 1)), F.col("_l")).alias("seq"), "n_kmers")
 
 
+def with_counts(graph: KmerGraph, chains: DataFrame) -> DataFrame:
+    """head, seq, counts (one a k-mer, in order) and n_kmers of the chains' paths."""
+    each = chains.join(graph.kmers, "kmer").groupBy("head").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "weight"))), lambda x: x.weight).alias("counts"))
+    return _spelled(chains, graph.k).join(each, "head").select("head", "seq", "counts", "n_kmers")
+
+
 def unitig_chains(graph: KmerGraph) -> DataFrame:
     """head, pos, kmer of the maximal non-branching paths: u to v where u has one successor and v one predecessor."""
     e = graph._ends()

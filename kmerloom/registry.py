@@ -18,6 +18,7 @@ from .functions.kmers import canonical, explode_kmers, next_kmer, prev_kmer, spr
 from .operators import align, annotation, clean, columns, differential, paths, stats, taxonomy
 from .operators.graph import KmerGraph
 from .plans import query as q
+from .plans.storage import scratch_path
 from .sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,8 +105,17 @@ TALK_GRAPH = f"SELECT kmer, count(*) AS weight FROM ({TS}) GROUP BY kmer"
 NAME_GRAPH = f"SELECT kmer, count(*) AS weight FROM ({kmers_sql('part', 'p_partkey', protein_sql('p_name'), 5)}) GROUP BY kmer"
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def index(spark: SparkSession, sf: str) -> q.Index:
-    return q.Index(K, sequences=docs(spark, sf))
+    """The stored index of the documents, built by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        at = scratch_path(spark, "index")
+        q.write_index(docs(spark, sf), at, K)
+        _STORED[key] = at
+    return q.read_index(spark, _STORED[key])
 
 
 def small_graph(spark: SparkSession, sf: str) -> KmerGraph:
@@ -220,13 +230,19 @@ _UNITIGS = f"""WITH RECURSIVE g AS ({NAME_GRAPH}), o AS (SELECT left(kmer, 4) AS
 s AS (SELECT kmer, next FROM i JOIN o USING (j) WHERE kmer <> next), w AS (SELECT kmer AS head, kmer, kmer AS seq, CAST(1 AS BIGINT) AS n_kmers FROM g WHERE kmer NOT IN (SELECT next FROM s) UNION ALL SELECT head, next, seq||right(next, 1), n_kmers + 1 FROM w JOIN s USING (kmer))"""
 register("unitigs", f"{_UNITIGS} SELECT head, max_by(seq, n_kmers) AS seq, max(n_kmers) AS n_kmers FROM w GROUP BY head")(lambda s, d: paths.unitigs(name_graph(s, d)))
 register("tips", f"{_UNITIGS}, u AS (SELECT head, max_by(kmer, n_kmers) AS last, max(n_kmers) AS n FROM w GROUP BY head), x AS (SELECT head, (SELECT count(*) FROM g WHERE right(g.kmer, 4) = left(head, 4)) + (SELECT count(*) FROM g WHERE left(g.kmer, 4) = right(last, 4)) AS deg, n FROM u) SELECT head, max_by(seq, n_kmers) AS seq, max(n_kmers) AS n_kmers FROM w WHERE head IN (SELECT head FROM x WHERE NOT (n < 5 AND deg < 2)) GROUP BY head")(lambda s, d: (lambda g: paths._spelled(paths.without_tips(g, paths.unitig_chains(g), 5), 5))(name_graph(s, d)))
-register("contigs")(lambda s, d: paths.contigs(name_graph(s, d)))
+_CONTIGS = f"""WITH RECURSIVE g AS ({NAME_GRAPH}), i AS (SELECT kmer, right(kmer, 4) AS j, row_number() OVER (PARTITION BY right(kmer, 4) ORDER BY kmer) AS r FROM g), o AS (SELECT kmer AS next, left(kmer, 4) AS j, row_number() OVER (PARTITION BY left(kmer, 4) ORDER BY kmer) AS r FROM g),
+s AS (SELECT kmer, next FROM i JOIN o USING (j, r) WHERE kmer <> next), w AS (SELECT kmer AS head, kmer, kmer AS seq, CAST(1 AS BIGINT) AS n_kmers FROM g WHERE kmer NOT IN (SELECT next FROM s) UNION ALL SELECT head, next, seq||right(next, 1), n_kmers + 1 FROM w JOIN s USING (kmer)),
+c AS (SELECT kmer AS head, kmer, kmer AS seq, CAST(1 AS BIGINT) AS n_kmers FROM g WHERE kmer NOT IN (SELECT kmer FROM w) UNION ALL SELECT head, next, seq||right(next, 1), n_kmers + 1 FROM c JOIN s USING (kmer) WHERE next <> head),
+p AS (SELECT head, max_by(seq, n_kmers) AS seq, max(n_kmers) AS n_kmers FROM w GROUP BY head UNION ALL SELECT head, max_by(seq, n_kmers), max(n_kmers) FROM c GROUP BY head HAVING min(kmer) = head)"""
+register("contigs", f"{_CONTIGS} SELECT * FROM p")(lambda s, d: paths.contigs(name_graph(s, d)))
 register("single_form")(lambda s, d: paths.primary_contigs(KmerGraph.build(dna(docs(s, d)), DNA_K, DNA, "canonical")))
-register("snk_gfa")(lambda s, d: paths.gfa(name_graph(s, d)))
+_NODES = "n AS (SELECT kmer, row_number() OVER (ORDER BY kmer) AS node FROM g), u AS (SELECT head, max_by(seq, n_kmers) AS seq, max_by(kmer, n_kmers) AS last FROM w GROUP BY head), t AS (SELECT head, seq, last, node FROM u JOIN n ON n.kmer = u.last)"
+register("snk_gfa", f"{_UNITIGS}, {_NODES} SELECT 'H'||chr(9)||'VN:Z:1.0' AS line UNION ALL SELECT 'S'||chr(9)||node||chr(9)||seq FROM t UNION ALL SELECT 'L'||chr(9)||a.node||chr(9)||'+'||chr(9)||b.node||chr(9)||'+'||chr(9)||'4M' FROM t a JOIN t b ON right(a.last, 4) = left(b.head, 4)")(lambda s, d: paths.gfa(name_graph(s, d)))
 register("snk_gfa_path", f"WITH qk AS ({kmers_sql('part', 'p_partkey', protein_sql('p_name'), 5)}), r AS (SELECT kmer, row_number() OVER (ORDER BY kmer) AS node FROM (SELECT DISTINCT kmer FROM qk)) SELECT 'P'||chr(9)||p_partkey||chr(9)||string_agg(node||'+', ',' ORDER BY pos)||chr(9)||array_to_string(list_transform(range(greatest(count(*) - 1, 1)), lambda x: '4M'), ',') AS line FROM qk JOIN r USING (kmer) GROUP BY p_partkey")(lambda s, d: paths.gfa_paths(name_graph(s, d), names(s, d)))
 register("snk_adjlist", f"{_EDGES} SELECT g.kmer, coalesce(string_agg(target, ',' ORDER BY target), '') AS successors FROM g LEFT JOIN e ON g.kmer = e.source GROUP BY g.kmer")(lambda s, d: paths.adjacency(name_graph(s, d)))
 register("snk_print_graph", f"SELECT row_number() OVER (ORDER BY kmer) AS node, kmer, weight FROM ({SMALL_GRAPH})")(lambda s, d: small_graph(s, d).numbered().select("node", "kmer", "weight"))
-register("hull")(lambda s, d: (lambda g: g.hull(g.sources(), 3))(name_graph(s, d)))
+_HULL = _EDGES.replace("WITH g", "WITH RECURSIVE g", 1) + ", few AS (SELECT * FROM e WHERE source IN (SELECT source FROM e GROUP BY source HAVING count(*) <= 4)), h AS (SELECT kmer, CAST(0 AS INTEGER) AS depth FROM g WHERE kmer NOT IN (SELECT target FROM e) UNION SELECT target, depth + 1 FROM h JOIN few ON kmer = source WHERE depth < 3)"
+register("hull", f"{_HULL} SELECT kmer, min(depth) AS depth FROM h GROUP BY kmer")(lambda s, d: (lambda g: g.hull(g.sources(), 3))(name_graph(s, d)))
 
 # -- annotation
 
@@ -402,3 +418,6 @@ def tax_lca(s, d):
     t = tree(s, d)
     leaves = t.where("child >= 1000").select("child")
     return taxonomy.lca(leaves.select(F.col("child").alias("a"), (F.col("child") + 1).alias("b")).join(leaves.select(F.col("child").alias("b")), "b", "left_semi"), taxonomy.ancestors(t))
+
+
+from . import registry_files, registry_more  # noqa: E402, F401

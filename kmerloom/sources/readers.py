@@ -89,6 +89,29 @@ def read_kmer_counts(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(decode, "file string, k int, counts array<long>")
 
 
+def read_fasta_counts(spark: SparkSession, path: str) -> DataFrame:
+    """name, seq and counts (one a k-mer) of parts that ``write_fasta_counts`` wrote: each part's counts are dealt to its sequences in order."""
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import gzip
+
+        for f in frames:
+            for fasta, sidecar in zip(f["fasta"], f["counts"], strict=True):
+                data = gzip.decompress(sidecar)
+                k, numbers, at, out = struct.unpack_from("<I", data)[0], np.frombuffer(data, "<u4", offset=4).astype("int64"), 0, []
+                for record in fasta.decode().split("\n>"):
+                    name, _, seq = record.removeprefix(">").partition("\n")
+                    seq = "".join(seq.split())
+                    n = max(0, len(seq) - k + 1)
+                    out.append((name, seq, numbers[at : at + n].tolist()))
+                    at += n
+                if at != len(numbers):
+                    raise ValueError("counts and sequences do not agree")
+                yield pd.DataFrame(out, columns=["name", "seq", "counts"])
+
+    return spark.read.parquet(path).mapInPandas(decode, "name string, seq string, counts array<long>")
+
+
 def header_abundance(comment: str | Column) -> Column:
     """The abundance of ``ka:f:`` or ``km:f:`` in a comment, rounded, 1 at least; null without one."""
     value = F.regexp_extract(comment, r"(?:ka|km):f:([0-9.eE+-]+)", 1)
