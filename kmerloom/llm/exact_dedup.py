@@ -28,7 +28,7 @@ PROBE_ROWS = 8192
 #: Bits of a level for each digest that is still without a slot.
 GAMMA = 1.6
 MAX_LEVELS = 64
-INDEX_SCHEMA = "shard long, salts int, n long, bitmaps binary, sizes array<long>, rest binary, slots binary, keep_id array<long>, keep_uid array<long>, group_size array<long>"
+INDEX_SCHEMA = "shard long, n long, bitmaps binary, sizes array<long>, rest binary, slots binary, keep_id array<long>, keep_uid array<long>, group_size array<long>"
 
 
 def normalised(text: Column) -> Column:
@@ -105,15 +105,14 @@ def _build(table: pa.Table) -> pa.Table:
     bitmaps, sizes, rest, slots = build_mphf(digests)
     order = np.argsort(slots)
     table = table.take(pa.array(order))
-    rows = sum(table["group_size"].to_pylist())
     row = {
-        "shard": table["shard"][0].as_py(), "salts": -(-rows // PROBE_ROWS), "n": len(order), "bitmaps": b"".join(x.tobytes() for x in bitmaps), "sizes": sizes,
+        "shard": table["shard"][0].as_py(), "n": len(order), "bitmaps": b"".join(x.tobytes() for x in bitmaps), "sizes": sizes,
         "rest": rest.tobytes(), "slots": digests[order].tobytes(), "keep_id": table["keep_id"].to_pylist(), "keep_uid": table["keep_uid"].to_pylist(), "group_size": table["group_size"].to_pylist(),
     }
     return pa.Table.from_pylist([row], schema=_INDEX_ARROW)
 
 
-_INDEX_ARROW = pa.schema([("shard", pa.int64()), ("salts", pa.int32()), ("n", pa.int64()), ("bitmaps", pa.binary()), ("sizes", pa.list_(pa.int64())), ("rest", pa.binary()), ("slots", pa.binary()), ("keep_id", pa.list_(pa.int64())), ("keep_uid", pa.list_(pa.int64())), ("group_size", pa.list_(pa.int64()))])
+_INDEX_ARROW = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("bitmaps", pa.binary()), ("sizes", pa.list_(pa.int64())), ("rest", pa.binary()), ("slots", pa.binary()), ("keep_id", pa.list_(pa.int64())), ("keep_uid", pa.list_(pa.int64())), ("group_size", pa.list_(pa.int64()))])
 _FOUND = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("n_chars", pa.int64()), ("keep_id", pa.int64()), ("keep_uid", pa.int64()), ("group_size", pa.int64())])
 _FOUND_DDL = "uid long, doc_id long, digest binary, n_chars long, keep_id long, keep_uid long, group_size long"
 
@@ -156,12 +155,13 @@ def build_index(history: DataFrame, n_shards: int) -> DataFrame:
 def lookup(rows: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
     """rows with keep_id, keep_uid and group_size of their digest's slot, null where it is no member.
 
-    A shard whose digests have many rows is met by that many salted groups, each
-    with its own copy of the shard, so no copy group lands in one task.
+    A shard that many of the rows ask for is met by as many salted groups, each with its own copy of the
+    shard, so no copy group lands in one task; a shard that no row asks for is not moved.
     """
-    salts = index.select("shard", "salts")
-    dealt = rows.select("*", _shard(n_shards)).join(salts, "shard", "left").withColumn("salt", F.pmod(F.xxhash64("uid"), F.coalesce("salts", F.lit(1)).cast("long"))).drop("salts")
-    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("salts") - 1).cast("long"))))
+    dealt = rows.select("*", _shard(n_shards))
+    salts = stored(dealt.groupBy("shard").agg(F.ceil(F.count("*") / PROBE_ROWS).alias("salts")), "salts")
+    dealt = dealt.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("uid"), "salts")).drop("salts")
+    copies = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     return dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(_probe, _FOUND_DDL)
 
 
@@ -176,7 +176,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
 
 def _deduplicated(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    n_shards = max(1, math.ceil(rows.count() / SHARD_DIGESTS))
+    n_shards = max(1, math.ceil((rows if history is None else history).count() / SHARD_DIGESTS))
     index = stored(build_index(winners(rows) if history is None else history, n_shards), "mphf")
     found = stored(lookup(rows, index, n_shards), "found")
     strangers = found.where("group_size IS NULL").drop("keep_id", "keep_uid", "group_size")

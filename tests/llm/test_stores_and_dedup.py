@@ -123,6 +123,21 @@ def test_exact_dedup_against_a_history(spark, docs):
     assert all(not x.kept for x in got if x.doc_id in members)
 
 
+def test_small_input_against_a_large_history(spark, monkeypatch):
+    """Shards follow the history, salts the rows that ask."""
+    monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 64)
+    monkeypatch.setattr(exact_dedup, "PROBE_ROWS", 16)
+    old = exact_dedup.winners(exact_dedup.digests(spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text")))
+    new = spark.createDataFrame([(9000 + i, f"text{i}" if i < 40 else "hot text" if i < 240 else "text7") for i in range(400)], "doc_id long, text string")
+    got = exact_dedup.exact_dedup(new, old).collect()
+    assert len(got) == 400
+    for x in got:
+        i = x.doc_id - 9000
+        assert (x.keep_id, x.kept) == ((i, False) if i < 40 else (9040, i == 40) if i < 240 else (7, False))
+    index = exact_dedup.build_index(old, 47).collect()
+    assert len(index) == 47 and max(x.n for x in index) < 200
+
+
 def test_perfect_hash():
     d = np.random.default_rng(0).integers(0, 256, (3000, 32), np.uint8)
     d[1] = d[0]
