@@ -7,8 +7,10 @@ their next-symbol and end frequencies agree within Hoeffding bounds. Every candi
 string of a text is scored by each automaton's likelihood against that of ordinary
 candidates; those well above are added as spans of kind ``format``.
 
-The automata are learnt from a bounded sample, FIT_STRINGS distinct credentials of a
-format, least by hash; all candidates are scored.
+The automata are learnt from a bounded sample of labelled credentials: FIT_STRINGS distinct ones
+of a format of at most FIT_LENGTH characters, least by hash, each as a whole. What ordinary
+strings are made of is counted over all candidates, and all of them are scored as a whole.
+A candidate is a run of LEAST or more characters of keys; shorter ones are not told from words.
 
 Defined cases: null text is empty; empty texts have no spans; spans count code points;
 without credentials nothing is added; repeated rows are scanned each; an empty
@@ -39,15 +41,14 @@ ADDED = "format"
 _ASSIGN = re.compile(ASSIGN, re.I | re.A)  # re.A: no letters beyond ASCII that fold to these
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: Candidates: runs of the characters of keys. A shorter run is not told from a word.
+#: Least length of a candidate.
 LEAST = 12
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
-FIT_STRINGS = 400
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
+#: Labelled credentials of a format that its automaton is learnt from, and the longest of them.
+FIT_STRINGS, FIT_LENGTH = 400, 512
 ALPHA = 0.05
 #: Log likelihood (nats) by which a format must beat ordinary text.
 MARGIN = 12.0
-#: Ordinary candidates from which their model is learnt, and longest part of a string that is learnt from.
-FIT_ORDINARY, LONGEST = 4000, 256
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -137,7 +138,7 @@ class Automaton:
 
     def learn(self, strings: list[str], alpha: float = ALPHA) -> Automaton:
         for s in strings:
-            self.add(s[:LONGEST])
+            self.add(s)
         red = [0]
         while True:
             blue = [(-self.visits(q), p, c, q) for p in red for c, q in self.next[p].items() if q not in red]
@@ -165,11 +166,11 @@ class Automaton:
 class Scorer:
     """Likelihood ratio of the best format against ordinary candidates, a symbol at a time."""
 
-    def __init__(self, formats: dict[str, list[str]], ordinary: list[str]):
+    def __init__(self, formats: dict[str, list[str]], counts: dict[str, int]):
+        """counts: how often the candidates of all texts hold each character."""
         self.automata = [Automaton().learn(sorted(x)) for _, x in sorted(formats.items()) if x]
-        counts = Counter(c for s in ordinary for c in s[:LONGEST])
         total = sum(counts.values()) + 128
-        self.ordinary = {chr(i): math.log((counts[chr(i)] + 1) / total) for i in range(128)}
+        self.ordinary = {chr(i): math.log((counts.get(chr(i), 0) + 1) / total) for i in range(128)}
 
     def ratio(self, s: str) -> float:
         best = max((a.log_likelihood(s) for a in self.automata), default=-math.inf)
@@ -200,11 +201,20 @@ def _least(values: DataFrame, n: int) -> list:
     return values.distinct().orderBy(F.xxhash64("value"), "value").limit(n).collect()
 
 
+def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter[str] = Counter()
+    for b in batches:
+        for others in b["others"].to_pylist():
+            for x in others:
+                counts.update(x["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["c", "n"])
+
+
 def fit(found: DataFrame) -> Scorer:
-    spans = found.select(F.explode("base").alias("s")).select("s.kind", F.col("s.value").alias("value"))
+    spans = found.select(F.explode("base").alias("s")).select("s.kind", F.col("s.value").alias("value")).where(F.length("value") <= FIT_LENGTH)
     formats = {k: [x.value for x in _least(spans.where(F.col("kind") == k).select("value"), FIT_STRINGS)] for k in KINDS}
-    ordinary = _least(found.select(F.explode("others").alias("s")).select(F.col("s.value").alias("value")), FIT_ORDINARY)
-    return Scorer(formats, [x.value for x in ordinary])
+    counts = found.select("others").mapInArrow(_characters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
+    return Scorer(formats, {x.c: x.n for x in counts})
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
