@@ -32,7 +32,8 @@ from .common import text_of
 K = 3
 SKETCHES = 32
 SELECTED = 2
-PLACE_BITS = 26
+#: Bits of a place: no array of longs that Spark can hold is longer than 2 ** 28.
+PLACE_BITS = 28
 #: Bytes of text that one bucket of doc_ids is meant to hold.
 BUCKET_BYTES = 4 << 20
 #: A level of the search for a doc_id's bucket compares so many bounds.

@@ -38,7 +38,7 @@ def plain(text):
         found.setdefault(p >> 59, []).append((p >> om.PLACE_BITS, place, g))
     out = []
     for sketch, all_ in sorted(found.items()):
-        chosen = sorted(all_, key=lambda x: ((x[0] - 2**38 if x[0] >= 2**37 else x[0]), x[1]))[: om.SELECTED]
+        chosen = sorted(all_, key=lambda x: ((x[0] - 2 ** (64 - om.PLACE_BITS) if x[0] >= 2 ** (63 - om.PLACE_BITS) else x[0]), x[1]))[: om.SELECTED]
         tuple_ = [g for _, _, g in sorted(chosen, key=lambda x: x[1])]
         out.append((sketch, xx(*tuple_, *[None] * (om.SELECTED - len(tuple_))) % 2**32))
     return out
