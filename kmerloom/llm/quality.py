@@ -6,16 +6,17 @@ trained to the least non-negative unbiased risk
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
-with the logistic loss, so that its output is a probability. The class prior is
-estimated by the share of good ones among the labelled rows of the same folds.
+with the logistic loss, so that its output is a probability. The class prior is estimated from
+positives and unlabelled texts alone: a first network tells one half of both from each other, and over
+the other half the prior is the least share of unlabelled texts above a score for each share of
+positives above it, with a margin for chance (best-bin estimation). Labels 0 are not used.
 
 The features are how often each pair of character classes follows each other in the whole
-text, and a few ratios of words; documents to fit on are a bounded sample, FIT_ROWS
-of each kind, least by the hash of their ids. Every document is scored.
+text, and a few ratios of words; documents to fit on are a bounded sample, FIT_ROWS ids
+of each kind, least by the hash of the id (a parameter; its chance error in the prior is below 0.02). Every document is scored.
 
-Defined cases: null and empty texts have features of zero and get a score; null labels
-count as none; without positives every score is the prior, 0.5 if there are no
-labels; repeated rows are scored each; an empty table gives an empty result.
+Defined cases: null and empty texts have features of zero and get a score; labels other than 1
+count as none; without positives every score is the prior, 0.5; of rows with one id one is fitted on; repeated rows are scored each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -101,6 +102,23 @@ class Network:
         return [x.T @ gh, gh.sum(axis=0), h.T @ g, np.array([g.sum()])]
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> float:
+    """The share of positives among the unlabelled, by the best bin of a network that tells the two kinds apart."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    rng = np.random.default_rng(seed)
+    p, u = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
+    hp, hu = len(p) // 2, len(u) // 2
+    net = fit_pu(positive[p[:hp]], unlabelled[u[:hu]], 0.5, seed)
+    sp, su = np.sort(net.score(positive[p[hp:]])), np.sort(net.score(unlabelled[u[hu:]]))
+    cuts = np.unique(sp)
+    qp = 1 - np.searchsorted(sp, cuts) / len(sp)
+    qu = 1 - np.searchsorted(su, cuts) / len(su)
+    margin = np.sqrt(np.log(2 / 0.1) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
+    best = int(np.argmin((qu + 1.01 * margin) / qp))
+    return float(np.clip(qu[best] / qp[best], 0.01, 0.99))
+
+
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 0) -> Network:
     """Non-negative risk: where the estimated risk of negatives is below zero, a step is taken against it."""
     every = np.concatenate((positive, unlabelled))
@@ -139,23 +157,21 @@ def _least(ids: DataFrame, n: int) -> DataFrame:
 
 
 def _matrix(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the rows with these ids, of which there are at most FIT_ROWS."""
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(_featured, "doc_id long, f binary").orderBy("doc_id", "f").limit(2 * FIT_ROWS).collect()
+    """Features of a row of each of these ids, of which there are at most FIT_ROWS."""
+    featured = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(_featured, "doc_id long, f binary")
+    found = sorted(featured.groupBy("doc_id").agg(F.min("f").alias("f")).collect())
     return np.frombuffer(b"".join(bytes(x.f) for x in found), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Network:
     """docs and labels: the rows of the training folds only."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
-    labels = labels.select(F.col("doc_id").cast("long"), F.col(label).alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
-    share = labels.agg(F.avg("y")).first()[0]
-    positive = _matrix(docs, _least(labels.where("y = 1").select("doc_id"), FIT_ROWS))
+    labels = labels.select(F.col("doc_id").cast("long"), F.col(label).alias("y")).where("doc_id IS NOT NULL AND y = 1")
+    positive = _matrix(docs, _least(labels.select("doc_id"), FIT_ROWS))
     unlabelled = _matrix(docs, _least(docs.select("doc_id"), FIT_ROWS))
-    if not len(unlabelled):
-        positive = unlabelled = np.zeros((0, N_FEATURES))
-        net = Network(np.zeros(N_FEATURES), np.ones(N_FEATURES), 0.5 if share is None else share)
-        return net
-    return fit_pu(positive, unlabelled, 0.5 if share is None else float(share))
+    if not len(positive) or not len(unlabelled):
+        return Network(np.zeros(N_FEATURES), np.ones(N_FEATURES), 0.5)
+    return fit_pu(positive, unlabelled, estimated_prior(positive, unlabelled))
 
 
 def _scored(shared):

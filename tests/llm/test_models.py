@@ -240,6 +240,15 @@ def test_quality_of_held_out_rows(spark):
     assert auc(got.score.to_numpy(), got.quality.to_numpy()) > 0.9 and right > 0.85
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_of_unlabelled_texts(share):
+    r = np.random.default_rng(3)
+    good = lambda n: r.normal(1.5, 1, (n, quality.N_FEATURES)) * (np.arange(quality.N_FEATURES) < 6)
+    bad = lambda n: r.normal(-1.5, 1, (n, quality.N_FEATURES)) * (np.arange(quality.N_FEATURES) < 6)
+    n = int(1500 * share)
+    assert quality.estimated_prior(good(1500), np.concatenate((good(n), bad(1500 - n)))) == pytest.approx(share, abs=0.06)
+
+
 def test_quality_edges(spark, none):
     labels = spark.createDataFrame([(i, [1, 0, None][i % 3]) for i in range(60)] + [(None, 1), (3, 1)], "doc_id long, quality int")
     rows = [row(i, ["good plain text. And more", "##!!## $$$", None, ""][i % 4]) for i in range(80)] + [row(None, "x"), row(5, "y " * 9000), row(5, "y")]
