@@ -4,14 +4,16 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kmerloom.llm import exact_dedup, mixing, packing, simhash, token_store
+from kmerloom.llm import common, exact_dedup, mixing, packing, simhash, token_store
 from kmerloom.llm.tokens import Encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid string, fp string"
@@ -268,3 +270,19 @@ def test_schedule_follows_the_shares(spark):
     for s in range(4):
         mine = sorted((x.slot, x.block) for x in got if x.src == s)
         assert [b for _, b in mine] == list(range(len(mine)))
+
+
+def test_rows_are_taken_by_their_places(spark, tmp_path):
+    """Whatever the columns are called, from files or not, in one broadcast or in waves; each row as often as asked."""
+    names = ["doc_id", "text", "at", "file", "run", "copies", "row", "uid", "place", "_metadata"]
+    rows_ = [(i, f"t{i % 7}", *("x" * (i % 3) for _ in names[2:])) for i in range(300)] + [(None, None, *(None for _ in names[2:]))] * 2
+    df = spark.createDataFrame(rows_, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names)).repartition(4)
+    df.write.parquet(str(tmp_path / "d"))
+    for source in (df, spark.read.parquet(str(tmp_path / "d"))):
+        docs, located = common.placed(source, "doc_id")
+        assert located.count() == 302 and located.select("at").distinct().count() == 302
+        asked = located.select("at", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("doc_id") % 4).alias("n"))
+        for at_once in (1 << 20, 1):
+            got = common.taken(docs, asked, at_once)
+            assert got.columns == names
+            assert Counter(map(tuple, got.collect())) == Counter(x for x in rows_ for _ in range(1 if x[0] is None else x[0] % 4))
