@@ -341,3 +341,23 @@ def test_smooth_and_quantile(spark):
     h = spark.createDataFrame([(0, 1, 5), (0, 2, 4), (0, 7, 1)], "g int, value long, n long")
     assert [fmt.quantile(h, ["g"], "value", "n", x).first().quantile for x in (0.5, 0.51, 0.9, 1.0)] == [1, 2, 2, 7]
     assert df.select(F.count("*")).first()[0] == 5
+
+
+def test_one_form_of_each_kmer(spark):
+    r = random.Random(6)
+    g = KmerGraph.build(seqs(spark, *("".join(r.choices("ACGT", k=120)) for _ in range(2))), 5, DNA, "canonical")
+    spelled = [x.seq for x in paths.primary_contigs(g).collect()]
+    flip = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    assert sorted(min(s[i : i + 5], flip(s[i : i + 5])) for s in spelled for i in range(len(s) - 4)) == sorted(x.kmer for x in g.kmers.collect())
+
+
+def test_differential_unitigs_and_sequences(spark):
+    df = spark.createDataFrame([(0, "A", "ACGGTCATTGAC"), (1, "B", "GGTCATTG"), (2, "C", "TCATT")], "seq_id long, label string, seq string")
+    g, anno = KmerGraph.build(df, 4, DNA), annotation.annotate(df, 4, alphabet=DNA)
+    rule = differential.Rule("x", ["A", "B"], ["C"], unitig_out_max_fraction=0.5)
+    # k-mers of A and B: GGTC to ATTG, five of them in a row, two of which C has
+    assert [x.kmer for x in differential.by_unitig(g, anno, rule).orderBy("pos").collect()] == ["GGTC", "GTCA", "TCAT", "CATT", "ATTG"]
+    strict = differential.Rule("x", ["A", "B"], ["C"], unitig_out_max_fraction=0.3)
+    assert differential.by_unitig(g, anno, strict).count() == 0
+    assert sorted(x.seq for x in differential.assemble(g, anno, rule).collect()) == ["ATTG", "GGTCA"]
+    assert [x.seq for x in differential.assemble(g, anno, rule, by="unitig").collect()] == ["GGTCATTG"]
