@@ -1,10 +1,13 @@
 """SimHash near-dedup by tiled exact comparison.
 
 Each text gets 64 bits from the hashes of its word shingles. Distinct
-fingerprints at most ``radius`` bits apart agree in at least one of radius + 1
-bands, so those that share a band are compared, exactly, in tiles: numpy
+fingerprints at most ``radius`` bits apart agree in at least blocks - radius of
+the 64 bits' ``blocks`` blocks, so those that share such a band, a choice of blocks - radius
+blocks, are compared, exactly, in tiles: numpy
 exclusive-or and bit counts over tiles sorted by population count, where a
-pair of tiles whose counts differ by more than the radius is skipped. A band
+pair of tiles whose counts differ by more than the radius is skipped. More blocks
+make more bands, each with more bits, so fewer fingerprints meet by chance;
+their number follows the number of distinct fingerprints and never changes a link. A band
 value with many fingerprints is cut into tiles by population count and hash,
 and each pair of tiles is a unit of work of its own. A unit returns links that span
 its components, not all pairs; components of the whole come from repeated
@@ -19,6 +22,8 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,8 @@ SEED = 42
 TILE = 4096
 #: Rows and columns of the matrices in which a unit is compared.
 STEP = 512
+#: Comparisons that cost as much as one row of one band.
+ROW = 2000
 
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
@@ -151,13 +158,23 @@ def _links(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """u, v (u > v): links that span the components of the distinct fingerprints in column fp."""
-    bands, edges = radius + 1, []
-    for j in range(bands):
-        lo, hi = 64 * j // bands, 64 * (j + 1) // bands
-        edges.append(F.struct(F.lit(j).alias("band"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value")))
-    rows = distinct.select("fp", F.explode(F.array(*edges)).alias("b")).select("fp", F.xxhash64("b.band", "b.value").alias("bucket"), F.bit_count("fp").alias("ones"))
+def bands(radius: int, blocks: int) -> list[int]:
+    """The bits of each choice of blocks - radius of the blocks, as signed longs: fingerprints within the radius agree in all bits of one."""
+    edges = [64 * j // blocks for j in range(blocks + 1)]
+    block = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [x - (1 << 64) if x >> 63 else x for x in (sum(c) for c in combinations(block, blocks - radius))]
+
+
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """The number of blocks with the least work for n distinct fingerprints: rows of all bands, and comparisons by chance."""
+    return min(range(radius + 1, min(2 * radius + 1, 64) + 1), key=lambda b: comb(b, radius) * (ROW + n / 2 ** (64 * (b - radius) / b + 1)))
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: int | None = None) -> DataFrame:
+    """u, v (u > v): links that span the components of the distinct fingerprints in column fp, the same for any number of blocks."""
+    blocks = blocks or blocks_for(distinct.count(), radius)
+    edges = F.array(*[F.xxhash64(F.lit(j), F.col("fp").bitwiseAND(F.lit(x))) for j, x in enumerate(bands(radius, blocks))])
+    rows = distinct.select("fp", F.explode(edges).alias("bucket")).select("fp", "bucket", F.bit_count("fp").alias("ones"))
     hot = stored(rows.groupBy("bucket", "ones").count().withColumn("m", F.expr("sum(count) OVER (PARTITION BY bucket)")).where(F.col("m") > tile).select("bucket", "ones", F.ceil(F.col("count") / tile).alias("salts")), "hot-bands")
     plain = rows.join(hot.select("bucket").distinct(), "bucket", "left_anti").select(F.col("bucket").alias("unit"), F.lit(0).alias("side"), "fp")
     tiles = hot.select("bucket", "ones", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))

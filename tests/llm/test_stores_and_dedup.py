@@ -190,15 +190,28 @@ def test_near_dedup(spark, docs, none):
     assert simhash.near_dedup(none).count() == 0
 
 
-@pytest.mark.parametrize("tile", [3, 50, 4096])
-def test_links_of_crowded_bands(spark, tile):
+def test_bands():
+    """Two fingerprints within the radius agree in all bits of a band, however many blocks there are; more fingerprints make longer bands."""
+    r = random.Random(5)
+    for blocks in range(5, 10):
+        masks = [x % 2**64 for x in simhash.bands(4, blocks)]
+        for _ in range(200):
+            far = sum(1 << b for b in r.sample(range(64), 4))
+            assert any(far & m == 0 for m in masks)
+    sizes = [simhash.blocks_for(n) for n in (0, 1, 10**6, 10**8, 10**9, 10**11)]
+    assert sizes == sorted(sizes) and sizes[0] == sizes[2] == 5 and sizes[-1] > 5
+    assert simhash.blocks_for(10, 0) == 1 and simhash.bands(0, 1) == [-1]
+
+
+@pytest.mark.parametrize("tile,blocks", [(3, None), (3, 6), (50, None), (50, 7), (4096, None), (4096, 8)])
+def test_links_of_crowded_bands(spark, tile, blocks):
     r = random.Random(tile)
     fps = {r.getrandbits(64) for _ in range(60)}
     near = r.getrandbits(64)
     fps |= {near ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(20)) for _ in range(120)}
     fps = sorted(fps)
     df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
-    got = {x.node: x.root for x in simhash.components(simhash.links(df, 4, tile)).collect()}
+    got = {x.node: x.root for x in simhash.components(simhash.links(df, 4, tile, blocks)).collect()}
     sign = [f - 2**64 if f >= 2**63 else f for f in fps]
     classes = {}
     for f, c in zip(sign, components(fps), strict=True):
