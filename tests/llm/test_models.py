@@ -249,6 +249,32 @@ def test_prior_of_unlabelled_texts(share):
     assert quality.estimated_prior(good(1500), np.concatenate((good(n), bad(1500 - n)))) == pytest.approx(share, abs=0.06)
 
 
+def test_output_layer_has_least_risk():
+    """Newton steps by sums against a plain search, with a prior that is right and one that is too high."""
+    r = np.random.default_rng(1)
+    shift = 0.4 * (np.arange(quality.HIDDEN) < 3)  # kinds that overlap
+    good, bad = r.normal(0, 0.5, (6000, quality.HIDDEN)) + shift, r.normal(0, 0.5, (10000, quality.HIDDEN)) - shift
+    positive, unlabelled = good[:3000], np.concatenate((good[3000:], bad))
+    parts = lambda w: sum(quality.sums(x, w) for x in np.array_split(unlabelled, 7))
+    one = lambda x: np.concatenate((x, np.ones((len(x), 1))), axis=1)
+    for prior in (3000 / 13000, 0.6):
+        risk = lambda w: (lambda p, u: (prior * np.logaddexp(0, -p).mean() + quality.DECAY / 2 * (w**2).sum(), np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()))(one(positive) @ w, one(unlabelled) @ w)
+        start = np.zeros(quality.HIDDEN + 1)
+        w = quality.solved(parts, positive, prior, start)
+        assert risk(w)[1] >= 0 and sum(risk(w)) < sum(risk(start))
+        if prior < 0.5:
+            assert all(sum(risk(w + 0.01 * r.normal(size=len(w)))) > sum(risk(w)) for _ in range(50))
+            assert (one(good) @ w > 0).mean() > 0.8 and (one(bad) @ w < 0).mean() > 0.8
+
+
+def test_quality_is_the_same_in_any_layout(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 3)], "doc_id long, quality int")
+    r = random.Random(2)
+    rows = [row(i, " ".join(r.choices("plain good words here.".split() if i % 2 == 0 else "## !! $$ 99 x".split(), k=20))) for i in range(400)]
+    a, b = ({x.doc_id: x.score for x in quality.quality(spark.createDataFrame(rows, SCHEMA).repartition(n), labels).collect()} for n in (1, 5))
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-6 for i in a)
+
+
 def test_quality_edges(spark, none):
     labels = spark.createDataFrame([(i, [1, 0, None][i % 3]) for i in range(60)] + [(None, 1), (3, 1)], "doc_id long, quality int")
     rows = [row(i, ["good plain text. And more", "##!!## $$$", None, ""][i % 4]) for i in range(80)] + [row(None, "x"), row(5, "y " * 9000), row(5, "y")]
