@@ -48,7 +48,8 @@ class Service:
             raise BadRequest(f"no such graph: {', '.join(sorted(unknown))}")
         return [(n, i) for n in (names or self.indexes) for i in self.indexes[n]]
 
-    def _queries(self, sequence: str | list[str]) -> DataFrame:
+    def queries(self, sequence: str | list[str]) -> DataFrame:
+        """query_id, name and seq of a sequence, of a FASTA text or of a list of sequences."""
         text = sequence if isinstance(sequence, str) else "".join(f">{i}\n{s}\n" for i, s in enumerate(sequence))
         if not text.strip():
             raise BadRequest("no sequence")
@@ -58,7 +59,7 @@ class Service:
         """graph, query_id, label and what the mode gives, of all chosen indexes."""
         if not 0 <= discovery_fraction <= 1:
             raise BadRequest("discovery_fraction must be within 0 and 1")
-        queries, out = self._queries(sequence), None
+        queries, out = self.queries(sequence), None
         for name, index in self._chosen(graphs):
             found = query(index, queries, mode_of(**flags), discovery_fraction, top_n=top_labels).withColumn("graph", F.lit(name))
             out = found if out is None else out.unionByName(found, allowMissingColumns=True)
@@ -81,7 +82,7 @@ class Service:
     def align(self, sequence: str | list[str], graph: str, both_strands: bool = False, **options) -> DataFrame:
         if graph not in self.graphs:
             raise BadRequest(f"no such graph: {graph}")
-        return (aln.align_both_strands if both_strands else aln.align)(self.graphs[graph], self._queries(sequence).select("query_id", "seq"), **options)
+        return (aln.align_both_strands if both_strands else aln.align)(self.graphs[graph], self.queries(sequence).select("query_id", "seq"), **options)
 
     def column_labels(self, graphs: list[str] | None = None) -> DataFrame:
         out = None
