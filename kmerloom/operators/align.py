@@ -1,4 +1,4 @@
-"""Alignment of queries to the graph: seeds as joins and windows, extension in one task a query."""
+"""Alignment of queries to the graph: seeds as joins and windows, extension in one task a query (and label)."""
 
 from __future__ import annotations
 
@@ -17,14 +17,17 @@ from ..plans.storage import stored
 from .graph import KmerGraph
 
 
+def _seeds(hits: DataFrame, key: list[str], k: int, min_match: float) -> DataFrame:
+    """key, first and last of the runs of hits (key, n_kmers, pos); where the covered letters are under the share, all go."""
+    runs = islands(hits.select(*key, "n_kmers", "pos", F.lit(1).alias("one")), [*key, "n_kmers"], "pos", "one").drop("one")
+    covered = runs.withColumn("_p", F.coalesce(F.lag("last").over(Window.partitionBy(*key).orderBy("first")), F.lit(-k).cast("long")))
+    share = covered.groupBy(*key).agg((F.sum(F.col("last") + k - F.greatest("first", F.col("_p") + k)) / (F.max("n_kmers") + k - 1)).alias("share"))
+    return runs.join(share.where(F.col("share") >= min_match).select(*key), key, "left_semi").select(*key, "first", "last")
+
+
 def exact_seeds(graph: KmerGraph, queries: DataFrame, min_match: float = 0.0) -> DataFrame:
     """query_id, first and last window of each run of found k-mers; queries whose covered letters are under the share go."""
-    hits = graph.map_kmers(queries).where("found").select("query_id", "n_kmers", "pos", F.lit(1).alias("one"))
-    runs = islands(hits, ["query_id", "n_kmers"], "pos", "one").drop("one")
-    k = graph.k
-    covered = runs.withColumn("_p", F.coalesce(F.lag("last").over(Window.partitionBy("query_id").orderBy("first")), F.lit(-k).cast("long")))
-    share = covered.groupBy("query_id").agg((F.sum(F.col("last") + k - F.greatest("first", F.col("_p") + k)) / (F.max("n_kmers") + k - 1)).alias("share"))
-    return runs.join(share.where(F.col("share") >= min_match).select("query_id"), "query_id", "left_semi").select("query_id", "first", "last")
+    return _seeds(graph.map_kmers(queries).where("found"), ["query_id"], graph.k, min_match)
 
 
 def mem_seeds(graph: KmerGraph, queries: DataFrame) -> DataFrame:
@@ -112,12 +115,24 @@ def extend(successors: Callable[[str], list[str]], start: str, query: str, scori
     return score, ops[::-1], "".join(reversed(letters))
 
 
-RESULT = "query_id long, orientation string, sequence string, score int, matches int, cigar string, offset int"
+RESULT = "orientation string, sequence string, score int, matches int, cigar string, offset int"
+
+
+def passed(sequence: str, cigar: str, k: int) -> set[tuple[int, str]]:
+    """The query's windows, by place, that the path of an alignment passes as they are."""
+    r = q = 0
+    out: set[tuple[int, str]] = set()
+    for op, n in cg.parse(cigar):
+        if op == "=":
+            out |= {(q + i, sequence[r + i : r + i + k]) for i in range(n - k + 1)}
+        r, q = r + n * (op in "=XD"), q + n * (op in "=XIS")
+    return out
 
 
 def align_one(seq: str, nodes: set[str], k: int, scoring: cg.Scoring, seeds: list[tuple[int, int]], xdrop: int = 27, done: set[str] | None = None) -> tuple[str, int, int, str] | None:
     """Best (sequence, score, matches, cigar) through any of the seeds (first and last windows).
 
+    A seed that the alignment of an earlier one passes is not extended again.
     done: the nodes whose neighbours are all in ``nodes``, all if not given; raises Unloaded if a walk needs those of others.
     """
     by_prefix: dict[str, list[str]] = {}
@@ -137,8 +152,10 @@ def align_one(seq: str, nodes: set[str], k: int, scoring: cg.Scoring, seeds: lis
         return sorted(y[::-1] for y in by_suffix.get(x[::-1][:-1], []))
 
     flipped = cg.Scoring(scoring.matrix, scoring.gap_open, scoring.gap_extend, scoring.right_end_bonus, scoring.left_end_bonus, scoring.other)
-    best, needed = None, set()
+    best, needed, met = None, set(), set()
     for first, last in seeds:
+        if (first, seq[first : first + k]) in met:
+            continue
         core = seq[first : last + k]
         walks = []
         for step, start, rest, by in ((forward, core[-k:], seq[last + k :], scoring), (backward, core[:k][::-1], seq[:first][::-1], flipped)):
@@ -154,6 +171,7 @@ def align_one(seq: str, nodes: set[str], k: int, scoring: cg.Scoring, seeds: lis
         ops = [("S", first - used_left)] * (first > used_left) + l_ops[::-1] + [("=", len(core))] + r_ops + [("S", len(seq) - last - k - used_right)] * (len(seq) - last - k > used_right)
         cigar = cg.show(ops)
         sequence = l_seq[::-1] + core + r_seq
+        met |= passed(sequence, cigar, k)
         score = scoring.score(sequence, seq, cigar)
         if best is None or score > best[1]:
             best = (sequence, score, sum(n for op, n in cg.parse(cigar) if op == "="), cigar)
@@ -162,25 +180,39 @@ def align_one(seq: str, nodes: set[str], k: int, scoring: cg.Scoring, seeds: lis
     return best
 
 
-def align(graph: KmerGraph, queries: DataFrame, scoring: cg.Scoring | None = None, steps: int | None = None, min_match: float = 0.0, xdrop: int = 27) -> DataFrame:
+def align(graph: KmerGraph, queries: DataFrame, scoring: cg.Scoring | None = None, steps: int | None = None, min_match: float = 0.0, xdrop: int = 27, anno: DataFrame | None = None) -> DataFrame:
     """Best alignment of each query (query_id, seq) with a seed.
 
     Rounds of equi-joins gather the nodes near a query's k-mers, then one task extends the query over
     them. Where a walk that is within its drop needs the neighbours of a node that is not passed yet, they
     are gathered and the query is extended anew, so the result is that over the whole graph. With ``steps``,
     only nodes within so many steps are met, and walks end there.
+
+    With ``anno`` (kmer, label) of a graph of basic mode, the best alignment of each query and label with a seed in it: seeds and walks
+    keep to the label's nodes, so every k-mer of a path has its label.
     """
     scoring = scoring or cg.Scoring.of(graph.alphabet.name)
     k = graph.k
     queries = queries.select("query_id", graph.alphabet.normalise("seq").alias("seq"))
-    runs = exact_seeds(graph, queries, min_match)
-    hits = explode_kmers(queries, "seq", k, ["query_id"], graph.alphabet).join(graph.both_strands().select("kmer"), "kmer", "left_semi").join(runs.select("query_id").distinct(), "query_id", "left_semi")
-    edges = stored(graph.edges(), "align-edges")
+    windows = explode_kmers(queries, "seq", k, ["query_id"], graph.alphabet)
+    if anno is None:
+        key, extra = ["query_id"], []
+        hits, edges = windows.join(graph.both_strands().select("kmer"), "kmer", "left_semi"), graph.edges()
+    else:
+        if graph.mode != "basic":
+            raise ValueError("labels are kept to in graphs of basic mode")
+        key, extra = ["query_id", "label"], ["label"]
+        has = anno.select("kmer", F.col("label").cast("string").alias("label")).distinct()
+        hits = windows.join(has, "kmer").join(graph.kmers.select("kmer"), "kmer", "left_semi")
+        edges = graph.edges().join(has.withColumnRenamed("kmer", "source"), "source").join(has.withColumnRenamed("kmer", "target"), ["target", "label"])
+    runs = _seeds(hits, key, k, min_match)
+    edges = stored(edges.select("source", "target", *extra), "align-edges")
+    ahead, behind = edges.withColumnRenamed("source", "kmer"), edges.withColumnRenamed("target", "kmer")
 
     def gathered(front: DataFrame, near: DataFrame, done: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-        """near and done (query_id, kmer) after up to most steps from front."""
+        """near and done (key, kmer) after up to most steps from front."""
         for _ in range(most):
-            new = front.join(edges, F.col("kmer") == F.col("source")).select("query_id", F.col("target").alias("kmer")).unionByName(front.join(edges, F.col("kmer") == F.col("target")).select("query_id", F.col("source").alias("kmer"))).distinct().join(near, ["query_id", "kmer"], "left_anti")
+            new = front.join(ahead, ["kmer", *extra]).select(*key, F.col("target").alias("kmer")).unionByName(front.join(behind, ["kmer", *extra]).select(*key, F.col("source").alias("kmer"))).distinct().join(near, [*key, "kmer"], "left_anti")
             done = stored(done.unionByName(front), "align-done")
             front = stored(new, "align-front")
             if front.isEmpty():
@@ -191,36 +223,38 @@ def align(graph: KmerGraph, queries: DataFrame, scoring: cg.Scoring | None = Non
     def run(frames):
         for f in frames:
             out = []
-            for query_id, seq, seeds, nodes, passed in zip(f["query_id"], f["seq"], f["seeds"], f["nodes"], f["passed"], strict=True):
+            for *who, seq, seeds, nodes, passed_ in zip(*(f[c] for c in (*key, "seq", "seeds", "nodes", "passed")), strict=True):
                 places = sorted((int(x["first"]), int(x["last"])) for x in seeds)
                 try:
-                    if found := align_one(seq, set(nodes), k, scoring, places, xdrop, None if steps is not None else set(passed) if passed is not None else set()):
-                        out.append((query_id, "+", found[0], found[1], found[2], found[3], 0, []))
+                    if found := align_one(seq, set(nodes), k, scoring, places, xdrop, None if steps is not None else set(passed_) if passed_ is not None else set()):
+                        out.append((*who, "+", found[0], found[1], found[2], found[3], 0, []))
                 except Unloaded as e:
-                    out.append((query_id, "+", None, 0, 0, None, 0, sorted(e.nodes)))
-            yield pd.DataFrame(out, columns=["query_id", "orientation", "sequence", "score", "matches", "cigar", "offset", "needed"])
+                    out.append((*who, "+", None, 0, 0, None, 0, sorted(e.nodes)))
+            yield pd.DataFrame(out, columns=[*key, "orientation", "sequence", "score", "matches", "cigar", "offset", "needed"])
 
-    near = stored(hits.select("query_id", "kmer").distinct(), "align-near")
-    left = stored(queries.join(runs.groupBy("query_id").agg(F.collect_list(F.struct("first", "last")).alias("seeds")), "query_id"), "align-queries")
+    schema = f"query_id long, {'label string, ' * bool(extra)}{RESULT}, needed array<string>"
+    near = stored(hits.join(runs.select(*key).distinct(), key, "left_semi").select(*key, "kmer").distinct(), "align-near")
+    left = stored(queries.join(runs.groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("seeds")), "query_id"), "align-queries")
     near, done = gathered(near, near, near.limit(0), k + 1 if steps is None else steps)
     found = None
     while True:
-        groups = left.join(near.groupBy("query_id").agg(F.collect_list("kmer").alias("nodes")), "query_id").join(done.groupBy("query_id").agg(F.collect_list("kmer").alias("passed")), "query_id", "left")
-        tried = stored(groups.select("query_id", "seq", "seeds", "nodes", "passed").mapInPandas(run, f"{RESULT}, needed array<string>"), "align-tried")
+        groups = left.join(near.groupBy(*key).agg(F.collect_list("kmer").alias("nodes")), key).join(done.groupBy(*key).agg(F.collect_list("kmer").alias("passed")), key, "left")
+        tried = stored(groups.select(*key, "seq", "seeds", "nodes", "passed").mapInPandas(run, schema), "align-tried")
         ended = tried.where("size(needed) = 0").drop("needed")
         found = ended if found is None else found.unionByName(ended)
-        needed = tried.select("query_id", F.explode("needed").alias("kmer"))
+        needed = tried.select(*key, F.explode("needed").alias("kmer"))
         if needed.isEmpty():
             return found
-        left = stored(left.join(needed.select("query_id").distinct(), "query_id", "left_semi"), "align-queries")
-        near, done = gathered(needed, near.join(left, "query_id", "left_semi"), done.join(left, "query_id", "left_semi"), k + 1)
+        left = stored(left.join(needed.select(*key).distinct(), key, "left_semi"), "align-queries")
+        near, done = gathered(needed, near.join(left, key, "left_semi"), done.join(left, key, "left_semi"), k + 1)
 
 
 def align_both_strands(graph: KmerGraph, queries: DataFrame, **options) -> DataFrame:
-    """The better of the query and its reverse complement (orientation -), forward first on ties."""
+    """The better of the query and its reverse complement (orientation -), forward first on ties; of each label if labels are kept to."""
     plus = align(graph, queries, **options)
     minus = align(graph, queries.select("query_id", graph.alphabet.reverse_complement(graph.alphabet.normalise("seq")).alias("seq")), **options).withColumn("orientation", F.lit("-"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "orientation")
+    key = [c for c in ("query_id", "label") if c in plus.columns]
+    best = Window.partitionBy(*key).orderBy(F.col("score").desc(), "orientation")
     return plus.unionByName(minus).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
@@ -264,9 +298,11 @@ def labelled(alignments: DataFrame, anno: DataFrame, graph: KmerGraph) -> DataFr
 
 
 def top(alignments: DataFrame, n: int = 1, cutoff: float = 0.95) -> DataFrame:
-    """The best n of each query within a share of its best score: by score, then fewer query letters, forward first."""
-    w = Window.partitionBy("query_id")
-    ranked = alignments.withColumn("_b", F.max("score").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.col("score").desc(), "orientation", "sequence")))
+    """The best n of each query, or of each of its labels if there is a column ``label``, within a share of the query's best score: by score, forward first."""
+    best = Window.partitionBy("query_id")
+    key = [c for c in ("query_id", "label") if c in alignments.columns]
+    order = Window.partitionBy(*key).orderBy(F.col("score").desc(), "orientation", "sequence")
+    ranked = alignments.withColumn("_b", F.max("score").over(best)).withColumn("_r", F.row_number().over(order))
     return ranked.where((F.col("_r") <= n) & (F.col("score") >= F.col("_b") * cutoff)).drop("_b", "_r")
 
 
