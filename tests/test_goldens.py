@@ -16,6 +16,7 @@ from kmerloom.operators import align, annotation, clean, columns, differential,
 from kmerloom.operators.graph import KmerGraph
 from kmerloom.plans import query as q
 from kmerloom.plans.api import BadRequest, Service, mode_of
+from kmerloom.plans.server import Client, Clients, serve
 from kmerloom.plans.workflow import build_index
 from kmerloom.sources import readers, writers
 from kmerloom.streaming import incremental
@@ -219,6 +220,47 @@ def test_alignment_goes_on_within_its_drop(spark):
         assert got[i].cigar.count("X") == 5 and got[i].sequence == path[20:60] and (got[i].score, got[i].matches) == (whole[1], 35)
 
 
+def test_alignment_within_a_label(spark):
+    """A path over both labels is no path of either; the best n hold for each label, within a share of the query's best."""
+    left, right = "ACGGTCATTGACC", "TTGACCTGATTCA"
+    df = spark.createDataFrame([(0, "A", left), (1, "B", right)], "seq_id long, label string, seq string")
+    g, anno = KmerGraph.build(df, 5, DNA), annotation.annotate(df, 5, alphabet=DNA)
+    text = left + right[6:]
+    asked = spark.createDataFrame([(0, text), (1, "TTTTTTTT")], "query_id long, seq string")
+    assert align.align(g, asked).first().cigar == "20="
+    got = {x.label: x for x in align.align(g, asked, anno=anno).collect()}
+    assert {k: (x.query_id, x.sequence, x.cigar, x.score) for k, x in got.items()} == {"A": (0, left, "13=7S", 31), "B": (0, right, "7S13=", 31)}
+    assert {x.label for x in align.top(align.align(g, asked, anno=anno), 1).collect()} == {"A", "B"}
+    only = align.align(g, spark.createDataFrame([(0, left)], "query_id long, seq string"), anno=anno)
+    assert [x.label for x in align.top(only).collect()] == ["A"] and align.align(g, asked, anno=anno, min_match=0.9).count() == 0
+    with pytest.raises(ValueError, match="basic"):
+        align.align(KmerGraph.build(df, 5, DNA, "canonical"), asked, anno=anno)
+
+
+def test_trimmed_alignments():
+    r = random.Random(4)
+    for _ in range(300):
+        ops = [("S", r.randint(0, 2))] + [(op, r.randint(1, 3)) for op in "=" + "".join(r.choices("=XID", k=r.randint(0, 5))) + "="] + [("S", r.randint(0, 2))]
+        ops = cg.parse(cg.show([x for x in ops if x[1]]))
+        query, reference = "", ""
+        for op, n in ops:
+            for _ in range(n):
+                c = r.choice("ACGT")
+                query += c * (op != "D")
+                reference += (c if op != "X" else {"A": "C", "C": "A", "G": "T", "T": "G"}[c]) * (op not in "SI")
+        front, back = r.randint(0, 4), r.randint(0, 4)
+        cut, kept = cg.trimmed(ops, reference, front, back)
+        assert cg.is_valid(cut, kept, query) and reference.find(kept) >= 0
+        inner = [op for op, _ in cut if op != "S"]
+        assert not inner or (inner[0] in "=X" and inner[-1] in "=X")
+        assert cg.trimmed(ops, reference) == (ops, reference)
+        flip = {"A": "T", "T": "A", "C": "G", "G": "C"}
+        back_ops, back_ref = cg.turned(ops, reference, flip)
+        assert cg.is_valid(back_ops, back_ref, "".join(flip[c] for c in reversed(query)))
+    assert cg.trimmed([("=", 3), ("I", 2), ("=", 3)], "ACGTTA", 3) == ([("S", 5), ("=", 3)], "TTA")
+    assert align.passed("ACGTA", "1S3=1X1=", 2) == {(1, "AC"), (2, "CG")}
+
+
 def test_chain(spark):
     schema = "query_id long, label string, pos long, coord long, length long, query_length long"
     seeds = spark.createDataFrame([(0, "a", 0, 10, 5, 60), (0, "a", 8, 18, 5, 60), (0, "a", 3, 50, 4, 60)], schema)
@@ -324,6 +366,56 @@ def test_index_from_files_and_service(spark, tmp_path):
         q.query(index, spark.createDataFrame([(0, ASKED)], "query_id long, seq string"), "coords").collect()
 
 
+def test_service_over_http(spark, three):
+    service = Service(spark, {"g": [three[0]], "h": [three[0]]}, {"g": KmerGraph.build(spark.createDataFrame(THREE, "label string, seq string"), 5, DNA)})
+    running = serve(service)
+    try:
+        client = Client(f"http://127.0.0.1:{running.server_port}")
+        (found,) = client.search(ASKED, graphs=["g"], discovery_fraction=0)
+        assert found["seq_description"] == "0" and [(x["sample"], x["kmer_count"]) for x in found["results"]] == [("seq2", 13), ("seq3", 12), ("seq1", 10)]
+        other = ASKED[:8] + "A" + ASKED[9:]
+        both = client.search([ASKED, other], graphs=["g"], query_coords=True, top_labels=1, discovery_fraction=1.0)
+        assert [x["results"] and x["results"][0]["kmer_coords"] for x in both] == ["1-10-13:1-6-13:9-2-5:5-2-9:0-1-13", []]
+        assert client.align([ASKED, "TTTTTTTT"])[0]["alignments"][0]["cigar"] == "17=" and client.align(["TTTTTTTT"])[0]["alignments"] == []
+        aligned = client.search([ASKED], align_first="g", graphs=["g"], with_signature=True)[0]
+        assert aligned["best_alignment"]["sequence"] == ASKED and aligned["results"][0]["signature"] == "x13"
+        assert client.column_labels() == ["seq1", "seq2", "seq3"] and client.stats()["g"]["graph"]["k"] == 5
+        many = Clients({"a": client, "b": client}).search(ASKED, discovery_fraction=0.9)
+        assert many["a"] == many["b"] and len(many["a"][0]["results"]) == 4  # two labels of two indexes
+        for bad in ({"graphs": ["x"]}, {"discovery_fraction": 2}, {"discovery_fraction": "x"}, {"top_labels": True}):
+            with pytest.raises(BadRequest):
+                client.search(ASKED, **bad)
+        for path, body in (("/search", [1]), ("/search", {}), ("/align", {"FASTA": 3})):
+            with pytest.raises(BadRequest):
+                client._ask(path, body)
+        with pytest.raises(RuntimeError, match="404"):
+            client._ask("/nothing")
+    finally:
+        running.shutdown()
+        running.server_close()
+
+
+@pytest.mark.parametrize("mode", ["basic", "primary"])
+def test_index_of_cleaned_samples(spark, tmp_path, mode):
+    """Counts below the least go sample by sample, with and without tips removed; queries find either strand's form in primary mode."""
+    r = random.Random(3)
+    a, b = ("".join(r.choices("ACGT", k=60)) for _ in range(2))
+    (tmp_path / "a.fa").write_text(f">1\n{a}\n>2\n{a}\n>3\n{a[:30]}{b[:1]}ACGTTG\n")
+    (tmp_path / "b.fa").write_text(f">1\n{b}\n>2\n{b}\n")
+    asked = spark.createDataFrame([(0, a), (1, b)], "query_id long, seq string")
+    for n, tip in enumerate((0, 4)):
+        index = build_index(spark, {x: [str(tmp_path / f"{x}.fa")] for x in "ab"}, str(tmp_path / f"index{n}"), 11, mode=mode, min_count=2, tip_size=tip, with_counts=True)
+        got = {(x.query_id, x.label): x.matches for x in q.query(index, asked, "matches", 0.9).collect()}
+        assert got == {(0, "a"): 50, (1, "b"): 50}
+        if tip == 0:
+            count = Counter(min(k, revcomp_of(k)) if mode == "primary" else k for s in (a, a, f"{a[:30]}{b[:1]}ACGTTG") for k in (s[i : i + 11] for i in range(len(s) - 10)))
+            assert {x.kmer: x["count"] for x in index.stored.where("label = 'a'").collect()} == {k: v for k, v in count.items() if v > 1}
+
+
+def revcomp_of(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
 def test_stream(spark, tmp_path):
     schema = "label string, seq string"
     for n in range(2):
