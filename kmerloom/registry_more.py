@@ -26,7 +26,7 @@ _MASKS = f"(SELECT doc_id AS query_id, regexp_replace(regexp_replace({protein_sq
 
 def masks(s, d):
     """Vowels are 1, all else is 0."""
-    return docs(s, d).select(F.col("seq_id").alias("query_id"), F.regexp_replace(F.regexp_replace(PROTEIN.normalise("seq"), "[AEIOU]", "1"), "[^1]", "0").alias("bits"))
+    return docs(s, d).select(F.col("seq_id").alias("query_id"), F.translate(PROTEIN.normalise("seq"), PROTEIN.letters, "".join("01"[c in "AEIOU"] for c in PROTEIN.letters)).alias("bits"))
 
 
 register("fn_mask_rle", f"SELECT query_id, array_to_string(list_transform(regexp_extract_all(bits, '0+|1+'), lambda x: (CASE WHEN x[1] = '1' THEN 'x' ELSE 'o' END)||length(x)), '') AS mask FROM {_MASKS}")(lambda s, d: masks(s, d).select("query_id", fmt.mask_rle("bits").alias("mask")))
