@@ -8,7 +8,7 @@ from .functions.alphabet import DNA, PROTEIN
 from .operators.graph import KmerGraph
 from .plans import query as q
 from .plans.storage import scratch_path
-from .registry import ANNO, COUNTS, DNA_K, MATCH, SMALL_GRAPH, _TREE, dna, dna_sql, docs, index, passages, protein_sql, rc_sql, register, small_anno, small_counts, small_graph, tree
+from .registry import ANNO, COUNTS, DNA_K, MATCH, SMALL_GRAPH, _TREE, corpus, dna, dna_sql, docs, passages, protein_sql, rc_sql, register, small_anno, small_counts, small_graph, tree
 from .sources import readers, writers
 
 
@@ -152,7 +152,7 @@ def build_chunks(s, d):
 
 @register("snk_json", f"{MATCH} SELECT query_id, '['||string_agg('{{\"label\":{{\"sample\":\"'||label||'\",\"properties\":{{}}}},\"kmer_count\":'||matches||'}}', ',' ORDER BY matches DESC, label)||']' AS json FROM m GROUP BY query_id")
 def snk_json(s, d):
-    return q.as_json(q.query(index(s, d), passages(s, d)))
+    return q.as_json(q.query(corpus(s, d), passages(s, d)))
 
 
 @register("snk_gfa_merge", "SELECT 'S'||chr(9)||doc_id AS line FROM documents UNION ALL SELECT 'P'||chr(9)||row_number() OVER (ORDER BY 'x'||lpad(CAST(item_id AS VARCHAR), 9, '0'))||chr(9)||item_id||'+'||chr(9)||'4M' FROM benchmark")

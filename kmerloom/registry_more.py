@@ -15,7 +15,7 @@ from .plans import query as q
 from .plans.storage import scratch_path
 from .registry import (
     ANNO, COUNTS, DD, DK, DNA_K, DS, K, LEAST, MATCH, NAME_GRAPH, QK, SMALL, SMALL_GRAPH, TALK_GRAPH, TS, _HEADERS, _MATCH_COORDS, _SCORE, _UNITIGS,
-    dna, dna_sql, docs, headers, index, kmers_sql, name_graph, names, passages, protein_sql, rc_sql, register, small_anno, small_counts, small_graph, table, talk_graph, talks,
+    dna, dna_sql, docs, headers, corpus, kmers_sql, name_graph, names, passages, protein_sql, rc_sql, register, small_anno, small_counts, small_graph, table, talk_graph, talks,
 )
 from .sources import writers
 
@@ -97,15 +97,15 @@ register("st_count_histogram", f"SELECT label, count, count(*) AS n FROM ({COUNT
 
 # -- query modes
 
-register("q_signature_full", f"{MATCH.replace(LEAST, 'max(n_kmers)')} SELECT query_id, label, matches, 'x'||n_kmers AS mask, CAST(n_kmers + {K} - 1 AS INTEGER) AS score FROM m")(lambda s, d: q.query(index(s, d), passages(s, d), "signature", discovery_fraction=1.0))
-register("q_batch", f"{MATCH} SELECT * FROM m")(lambda s, d: q.in_batches(index(s, d), passages(s, d), letters=10_000))
+register("q_signature_full", f"{MATCH.replace(LEAST, 'max(n_kmers)')} SELECT query_id, label, matches, 'x'||n_kmers AS mask, CAST(n_kmers + {K} - 1 AS INTEGER) AS score FROM m")(lambda s, d: q.query(corpus(s, d), passages(s, d), "signature", discovery_fraction=1.0))
+register("q_batch", f"{MATCH} SELECT * FROM m")(lambda s, d: q.in_batches(corpus(s, d), passages(s, d), letters=10_000))
 register("q_corpus", f"{MATCH} SELECT * FROM m")(lambda s, d: q.query(q.Index(K, sequences=docs(s, d)), passages(s, d)))
 _LOCAL = f"{_MATCH_COORDS}, p AS (SELECT DISTINCT query_id, CAST(seq_id AS VARCHAR) AS header, qk.pos, qk.n_kmers, hit.pos AS coord FROM qk JOIN hit USING (kmer)), m AS (SELECT query_id, header, count(DISTINCT pos) AS matches, count(*) AS total FROM p GROUP BY ALL HAVING count(DISTINCT pos) >= {LEAST})"
-register("q_cth_labels", f"{_LOCAL} SELECT query_id, header FROM m")(lambda s, d: q.by_headers(index(s, d), passages(s, d), headers(s, d), mode="labels"))
-register("q_cth_counts_sum", f"{_LOCAL} SELECT query_id, header, total FROM m")(lambda s, d: q.by_headers(index(s, d), passages(s, d), headers(s, d), mode="counts_sum"))
-register("q_cth_counts", f"{_LOCAL}, c AS (SELECT query_id, header, pos, count(*) AS c FROM p JOIN m USING (query_id, header) GROUP BY ALL), r AS (SELECT *, pos - row_number() OVER (PARTITION BY query_id, header, c ORDER BY pos) AS run FROM c), i AS (SELECT query_id, header, c, min(pos) AS a, max(pos) AS z FROM r GROUP BY query_id, header, c, run) SELECT query_id, header, matches, string_agg(a||CASE WHEN z > a THEN '-'||z ELSE '' END||'='||c, ':' ORDER BY a) AS abundances FROM i JOIN m USING (query_id, header) GROUP BY ALL")(lambda s, d: q.by_headers(index(s, d), passages(s, d), headers(s, d), mode="counts"))
-register("q_cth_coords", f"{_LOCAL}, r AS (SELECT query_id, header, pos, coord - pos AS dg, pos - row_number() OVER (PARTITION BY query_id, header, coord - pos ORDER BY pos) AS run FROM p JOIN m USING (query_id, header)), i AS (SELECT query_id, header, dg, min(pos) AS a, max(pos) AS z FROM r GROUP BY query_id, header, dg, run) SELECT query_id, header, matches, string_agg(a||'-'||(a+dg)||CASE WHEN z > a THEN '-'||(z+dg) ELSE '' END, ':' ORDER BY z, z+dg) AS coords FROM i JOIN m USING (query_id, header) GROUP BY ALL")(lambda s, d: q.by_headers(index(s, d), passages(s, d), headers(s, d), mode="coords"))
-register("q_no_coord_map", f"{MATCH} SELECT query_id, label, matches FROM m")(lambda s, d: q.query(index(s, d), passages(s, d), "matches").select("query_id", "label", "matches"))  # headers are known, labels are asked for
+register("q_cth_labels", f"{_LOCAL} SELECT query_id, header FROM m")(lambda s, d: q.by_headers(corpus(s, d), passages(s, d), headers(s, d), mode="labels"))
+register("q_cth_counts_sum", f"{_LOCAL} SELECT query_id, header, total FROM m")(lambda s, d: q.by_headers(corpus(s, d), passages(s, d), headers(s, d), mode="counts_sum"))
+register("q_cth_counts", f"{_LOCAL}, c AS (SELECT query_id, header, pos, count(*) AS c FROM p JOIN m USING (query_id, header) GROUP BY ALL), r AS (SELECT *, pos - row_number() OVER (PARTITION BY query_id, header, c ORDER BY pos) AS run FROM c), i AS (SELECT query_id, header, c, min(pos) AS a, max(pos) AS z FROM r GROUP BY query_id, header, c, run) SELECT query_id, header, matches, string_agg(a||CASE WHEN z > a THEN '-'||z ELSE '' END||'='||c, ':' ORDER BY a) AS abundances FROM i JOIN m USING (query_id, header) GROUP BY ALL")(lambda s, d: q.by_headers(corpus(s, d), passages(s, d), headers(s, d), mode="counts"))
+register("q_cth_coords", f"{_LOCAL}, r AS (SELECT query_id, header, pos, coord - pos AS dg, pos - row_number() OVER (PARTITION BY query_id, header, coord - pos ORDER BY pos) AS run FROM p JOIN m USING (query_id, header)), i AS (SELECT query_id, header, dg, min(pos) AS a, max(pos) AS z FROM r GROUP BY query_id, header, dg, run) SELECT query_id, header, matches, string_agg(a||'-'||(a+dg)||CASE WHEN z > a THEN '-'||(z+dg) ELSE '' END, ':' ORDER BY z, z+dg) AS coords FROM i JOIN m USING (query_id, header) GROUP BY ALL")(lambda s, d: q.by_headers(corpus(s, d), passages(s, d), headers(s, d), mode="coords"))
+register("q_no_coord_map", f"{MATCH} SELECT query_id, label, matches FROM m")(lambda s, d: q.query(corpus(s, d), passages(s, d), "matches").select("query_id", "label", "matches"))  # headers are known, labels are asked for
 _NAMES = kmers_sql("part", "p_partkey", protein_sql("p_name"), 5)
 register("q_align", f"WITH qk AS ({_NAMES}), anno AS (SELECT DISTINCT p_brand AS label, kmer FROM ({kmers_sql('part', 'p_brand', protein_sql('p_name'), 5)})) SELECT p_partkey AS query_id, label, count(*) AS matches, max(n_kmers) AS n_kmers FROM qk JOIN anno USING (kmer) GROUP BY ALL HAVING count(*) >= {LEAST}")(lambda s, d: q.aligned_query(name_graph(s, d), q.Index(5, sequences=table(s, d, "part").select(F.col("p_brand").alias("label"), F.col("p_name").alias("seq"))), names(s, d)))
-register("q_format_suppressed", f"WITH qk AS ({QK}), hit AS (SELECT DISTINCT label, kmer FROM ({DK}) WHERE kmer IN (SELECT kmer FROM qk)), m AS (SELECT query_id, label, count(*) AS n FROM qk JOIN hit USING (kmer) GROUP BY ALL HAVING count(*) >= {LEAST}) SELECT item_id||coalesce((SELECT chr(9)||string_agg('<'||label||'>:'||n, chr(9) ORDER BY n DESC, label) FROM m WHERE query_id = item_id), '') AS line FROM benchmark")(lambda s, d: q.as_tsv(q.query(index(s, d), passages(s, d)), queries=passages(s, d)))
+register("q_format_suppressed", f"WITH qk AS ({QK}), hit AS (SELECT DISTINCT label, kmer FROM ({DK}) WHERE kmer IN (SELECT kmer FROM qk)), m AS (SELECT query_id, label, count(*) AS n FROM qk JOIN hit USING (kmer) GROUP BY ALL HAVING count(*) >= {LEAST}) SELECT item_id||coalesce((SELECT chr(9)||string_agg('<'||label||'>:'||n, chr(9) ORDER BY n DESC, label) FROM m WHERE query_id = item_id), '') AS line FROM benchmark")(lambda s, d: q.as_tsv(q.query(corpus(s, d), passages(s, d)), queries=passages(s, d)))

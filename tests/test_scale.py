@@ -1,9 +1,19 @@
 """Work that grows with the input, not with its square; and plans that move what a query matches, not the corpus."""
 
 import itertools
+import os
+import random
 import time
 
+import pytest
+
+from kmerloom import registry
 from kmerloom.functions import text as fmt
+from kmerloom.functions.alphabet import DNA, DNA5, DNA_CASE, PROTEIN
+from kmerloom.functions.kmers import code, explode_kmers
+from kmerloom.plans import query as q
+
+DATA = "/root/testdata/sf0.001"
 
 
 def score(bits: str, k: int) -> int:
@@ -23,3 +33,38 @@ def test_scores_of_long_masks(spark):
     got = spark.createDataFrame(list(enumerate(masks)), "i int, x string").select("i", fmt.mask_score("x", 12).alias("s")).collect()
     assert [x.s for x in sorted(got)] == [score(m, 12) for m in masks]
     assert time.time() - began < 30  # runs were found anew for each run
+
+
+@pytest.mark.parametrize("alphabet,k", [(PROTEIN, 12), (PROTEIN, 3), (DNA, 5), (DNA5, 7), (DNA_CASE, 4), (DNA, 1)])
+def test_wanted_kmers_are_found_as_by_exploding(spark, monkeypatch, alphabet, k):
+    from kmerloom.functions import scan
+
+    monkeypatch.setattr(scan, "STEP", 50)  # windows over the ends of steps and texts
+    r = random.Random(k)
+    texts = [None, "", "A" * k, "".join(r.choices("ACGT", k=333)), "".join(r.choices("acgtuUN xé😀#", k=400)), *("".join(r.choices("ACGTUacgn\n", k=r.randint(0, 90))) for _ in range(30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string")
+    every = explode_kmers(df, "seq", k, ["seq_id"], alphabet).withColumn("kmer", code("kmer", alphabet)).collect()
+    wanted = sorted({x.kmer for x in every})[::2]
+    got = scan.find_kmers(df, "seq", k, ["seq_id"], alphabet, [*wanted, alphabet_end := len(alphabet.letters) ** k - 1])
+    assert sorted(got.collect()) == sorted(x for x in every if x.kmer in {*wanted, alphabet_end})
+    assert scan.find_kmers(df, "seq", k, ["seq_id"], alphabet, []).count() == 0
+
+
+@pytest.mark.parametrize("mode", q.MODES)
+def test_few_queries_and_many_queries_agree(spark, monkeypatch, mode):
+    r = random.Random(3)
+    texts = ["".join(r.choices("ABC ", k=200)) for _ in range(6)]
+    df = spark.createDataFrame([(i % 4, f"s{i % 3}", t) for i, t in enumerate(texts)], "seq_id long, label string, seq string")
+    asked = spark.createDataFrame([(0, texts[0][20:90]), (1, texts[4][:50] + "zz" + texts[2][:60]), (2, "A")], "query_id long, seq string")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    few, batches = rows(q.query(q.Index(4, sequences=df), asked, mode, 0.3)), rows(q.in_batches(q.Index(4, sequences=df), asked, mode, letters=40, discovery_fraction=0.3))
+    monkeypatch.setattr(q, "FEW_WINDOWS", 0)
+    assert few == batches == rows(q.query(q.Index(4, sequences=df), asked, mode, 0.3)) and few
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_queries_store_no_index_of_the_corpus(spark):
+    registry._STORED.clear()
+    for name in ("q_matches", "q_coords", "q_cth", "q_batch"):
+        registry.QUERIES[name](spark, DATA).count()
+    assert not registry._STORED
