@@ -12,10 +12,10 @@ from .functions.numbers import unzigzag, zigzag
 from .operators import annotation, clean, columns, paths, stats
 from .operators.graph import KmerGraph
 from .plans import query as q
-from .plans.storage import scratch_path
+from .plans.storage import scratch_path, stored
 from .registry import (
     ANNO, COUNTS, DD, DK, DNA_K, DS, K, LEAST, MATCH, NAME_GRAPH, QK, SMALL, SMALL_GRAPH, TALK_GRAPH, TS, _HEADERS, _MATCH_COORDS, _SCORE, _UNITIGS,
-    dna, dna_sql, docs, headers, corpus, kmers_sql, name_graph, names, passages, protein_sql, rc_sql, register, small_anno, small_counts, small_graph, table, talk_graph, talks,
+    dna, dna_sql, docs, headers, corpus, kmers_sql, name_graph, names, passages, protein_sql, rc_sql, register, small_anno, small_counts, small_graph, stored_once, table, talk_graph, talks,
 )
 from .sources import writers
 
@@ -90,7 +90,7 @@ def anno_rainbow(s, d):
     return writers.read_colours(s, at)
 
 
-register("anno_row_diff", ANNO)(lambda s, d: (lambda g, a: columns.from_row_diff(columns.row_diff(a, g.edges())))(small_graph(s, d), small_anno(s, d)))
+register("anno_row_diff", ANNO)(lambda s, d: (lambda g, a: columns.from_row_diff(stored(columns.row_diff(a, g.edges()), "row-diff")))(*stored_once(s, d)))
 register("st_anno_rows", f"SELECT count(DISTINCT labels) AS distinct_rows FROM (SELECT string_agg(label, ',' ORDER BY label) AS labels FROM ({ANNO}) GROUP BY kmer)")(lambda s, d: columns.row_classes(small_anno(s, d)).agg(F.count("*").alias("distinct_rows")))
 register("col_subsample_all", ANNO)(lambda s, d: columns.subsample(small_anno(s, d), 1))
 register("st_count_histogram", f"SELECT label, count, count(*) AS n FROM ({COUNTS}) GROUP BY ALL")(lambda s, d: stats.count_histogram(small_counts(s, d)))

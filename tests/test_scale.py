@@ -68,3 +68,28 @@ def test_queries_store_no_index_of_the_corpus(spark):
     for name in ("q_matches", "q_coords", "q_cth", "q_batch"):
         registry.QUERIES[name](spark, DATA).count()
     assert not registry._STORED
+
+
+@pytest.mark.parametrize("alphabet,k", [(PROTEIN, 3), (PROTEIN, 12), (DNA, 5), (DNA, 12), (DNA5, 7), (DNA, 1)])
+def test_kmers_counted_in_tasks_are_those_exploded(spark, monkeypatch, alphabet, k):
+    from pyspark.sql import functions as F
+
+    from kmerloom.functions import scan
+
+    monkeypatch.setattr(scan, "STEP", 50)
+    monkeypatch.setattr(scan, "KEYS", 1)
+    r = random.Random(k)
+    texts = [None, "", "A" * k, "C" * (k - 1), "".join(r.choices("acgtuUN xé😀#", k=400)), *("".join(r.choices("ACGTUacgn\n", k=r.randint(0, 90))) for _ in range(30))]
+    df = spark.createDataFrame([(i % 7, [None, "a", "b"][i % 3], t) for i, t in enumerate(texts)], "seq_id long, label string, seq string")
+    want = explode_kmers(df, "seq", k, ["label"], alphabet).groupBy("label", "kmer").count().collect()
+    got = scan.count_kmers(df, "seq", k, ["label"], alphabet).groupBy("label", "kmer").agg(F.sum("n")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want)))
+    if alphabet is PROTEIN:  # rows with the same seq_id are one
+        each = explode_kmers(df, "seq", k, ["seq_id"]).groupBy("seq_id").agg(F.count("*"), F.count_distinct("kmer"), F.min("kmer"), F.max("kmer"), F.max("pos"))
+        assert sorted(map(tuple, scan.summaries(df, k, alphabet).collect())) == sorted(map(tuple, each.collect()))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_plans_do_not_explode_the_corpus(spark):
+    for df in (registry.QUERIES["fn_kmers"](spark, DATA), registry.small_anno(spark, DATA), registry.small_counts(spark, DATA), registry.small_graph(spark, DATA).kmers):
+        assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString() and df.count()
