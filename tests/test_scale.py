@@ -93,3 +93,20 @@ def test_kmers_counted_in_tasks_are_those_exploded(spark, monkeypatch, alphabet,
 def test_plans_do_not_explode_the_corpus(spark):
     for df in (registry.QUERIES["fn_kmers"](spark, DATA), registry.small_anno(spark, DATA), registry.small_counts(spark, DATA), registry.small_graph(spark, DATA).kmers):
         assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString() and df.count()
+
+
+def test_nothing_is_gathered_for_whole_queries(spark, monkeypatch):
+    """Where a seed is all of a query, no neighbours are looked up; a query with a gap is extended as before."""
+    from kmerloom.operators import align, annotation
+    from kmerloom.operators.graph import KmerGraph
+
+    rows = []
+    monkeypatch.setattr(align, "stored", lambda df, name, f=align.stored: (out := f(df, name), rows.append((name, out.count())))[0])
+    df = spark.createDataFrame([(0, "A", "ACGGTCATTGAC"), (1, "B", "GGTCATTG")], "seq_id long, label string, seq string")
+    g, anno = KmerGraph.build(df, 4, DNA), annotation.annotate(df, 4, alphabet=DNA)
+    ask = lambda *seqs: spark.createDataFrame(list(enumerate(seqs)), "query_id long, seq string")
+    got = align.align(g, ask("GGTCATTG", "TCATT"), anno=anno, min_match=1.0).collect()
+    assert sorted((x.query_id, x.label, x.sequence, x.cigar) for x in got) == [(0, "A", "GGTCATTG", "8="), (0, "B", "GGTCATTG", "8="), (1, "A", "TCATT", "5="), (1, "B", "TCATT", "5=")]
+    assert not sum(n for name, n in rows if name in ("align-near", "align-front", "align-done"))
+    both = align.align(g, ask("GGTCATTG", "ACGGTCTTTGAC"), anno=anno).collect()
+    assert ("A", "ACGGTCATTGAC") in {(x.label, x.sequence) for x in both if x.query_id == 1} and sum(x.query_id == 0 for x in both) == 2
