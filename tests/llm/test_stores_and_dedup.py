@@ -299,3 +299,40 @@ def test_rows_are_taken_by_their_places(spark, tmp_path):
             got = common.taken(docs, asked, at_once)
             assert got.columns == names
             assert Counter(map(tuple, got.collect())) == Counter(x for x in rows_ for _ in range(1 if x[0] is None else x[0] % 4))
+
+
+def test_encoder_goes_with_its_last_reference():
+    """The caches' methods held their encoder, so each task's caches stayed until the collector ran."""
+    import gc
+    import weakref
+
+    gc.disable()
+    try:
+        for path in (BYTE, WORD):
+            encoder = Encoder(path)
+            encoder.ids("Words, and more words...")
+            held = [weakref.ref(encoder.spaced), weakref.ref(encoder.plain)]
+            del encoder
+            assert [x() for x in held] == [None, None]
+    finally:
+        gc.enable()
+
+
+def test_encoder_searches_no_whole_text_for_white_space(monkeypatch):
+    """Irregular white space shows in the pieces; ids are those of the whole text for any marks and spaces."""
+    import random
+
+    from kmerloom.llm import tokens
+
+    searched = []
+    monkeypatch.setattr(tokens, "_IRREGULAR", type("R", (), {"search": lambda _, x, r=tokens._IRREGULAR: searched.append(len(x)) or r.search(x)})())
+    r = random.Random(4)
+    pieces = ["word", "Word", "WORDS", "ñandú", "a", "I", "7", "x9", "don't", "é", "中文", "_", "fi", *"$%&#*@+=/|()[]{}<>~^-.,;:!?'\"", "$$$", "...", "?!", "\u2028"]
+    cuts = [" "] * 30 + ["\n"] * 3 + ["\t", "  ", "\n\n", " \n", "\u00a0", " \t", "\x1f", ""]
+    for path in (BYTE, WORD):
+        encoder, whole = Encoder(path), Tokenizer.from_file(path)
+        encoder.ids(" ".join(["plain words"] * 500))
+        for n in [*[12] * 1500, *[2] * 500]:
+            text = "".join(r.choice(pieces) + r.choice(["", "", r.choice(pieces)]) + r.choice(cuts) for _ in range(n)) + r.choice(["end", ""])
+            assert np.frombuffer(encoder.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    assert max(searched, default=0) < 100
