@@ -36,7 +36,7 @@ TABLE = 1 << 17
 LONGEST = 4
 SMOOTHING = 0.5
 #: Distinct words whose vectors a task keeps, and words that its counters hold.
-CACHE, FLUSH = 300_000, 300_000
+CACHE, FLUSH = 100_000, 300_000
 #: Bytes of text whose rare words are asked for together.
 BATCH_BYTES = 4 << 20
 UNDETERMINED = "und"
