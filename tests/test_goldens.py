@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from kmerloom import registry
 from kmerloom.functions import cigar as cg
 from kmerloom.functions import text as fmt
 from kmerloom.functions.alphabet import DNA, DNA5, DNA_CASE, PROTEIN, revcomp
@@ -237,6 +238,17 @@ def test_alignment_within_a_label(spark):
         align.align(KmerGraph.build(df, 5, DNA, "canonical"), asked, anno=anno)
 
 
+def test_registered_alignment_takes_every_pair_of_query_and_label(spark, tmp_path):
+    """Pairs that hold a part of a query are extended and stay, not only those that hold all of it; equal names get rows each."""
+    names = [(1, "A", "small ring"), (2, "B", "small bolt"), (3, "B", "hot ring"), (4, "A", "small ring"), (5, "C", "widget"), (6, "C", "cog"), (7, "C", None)]
+    spark.createDataFrame(names, "p_partkey long, p_brand string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = registry.QUERIES["aln_labeled"](spark, str(tmp_path)).collect()
+    assert sorted((x.query_id, x.label, x.sequence, x.cigar) for x in got) == [
+        (1, "A", "SMALLXRING", "10="), (1, "B", "SMALLX", "6=4S"), (2, "A", "SMALLX", "6=4S"), (2, "B", "SMALLXBOLT", "10="),
+        (3, "A", "XRING", "3S5="), (3, "B", "HOTXRING", "8="), (4, "A", "SMALLXRING", "10="), (4, "B", "SMALLX", "6=4S"), (5, "C", "WIDGET", "6="),
+    ]
+
+
 def test_trimmed_alignments():
     r = random.Random(4)
     for _ in range(300):
