@@ -238,8 +238,10 @@ def test_alignment_within_a_label(spark):
         align.align(KmerGraph.build(df, 5, DNA, "canonical"), asked, anno=anno)
 
 
-def test_registered_alignment_takes_every_pair_of_query_and_label(spark, tmp_path):
+@pytest.mark.parametrize("whole", [align.WHOLE, 0])
+def test_registered_alignment_takes_every_pair_of_query_and_label(spark, tmp_path, monkeypatch, whole):
     """Pairs that hold a part of a query are extended and stay, not only those that hold all of it; equal names get rows each."""
+    monkeypatch.setattr(align, "WHOLE", whole)
     names = [(1, "A", "small ring"), (2, "B", "small bolt"), (3, "B", "hot ring"), (4, "A", "small ring"), (5, "C", "widget"), (6, "C", "cog"), (7, "C", None)]
     spark.createDataFrame(names, "p_partkey long, p_brand string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
     got = registry.QUERIES["aln_labeled"](spark, str(tmp_path)).collect()
